@@ -21,7 +21,7 @@ def replicate_stats(exact: DataFrame, keys: Sequence[str], value: str) -> DataFr
     """
     counted = exact.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     return counted.groupBy(*keys).agg(
-        F.percentile(value, F.lit(0.5), "_n").alias("median"),
+        F.percentile(value, F.lit(0.5), F.col("_n")).alias("median"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         F.sum("_n").alias("size"),

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from likeness.functions.scalars import conditions_hash
 from likeness.operators.calls import activity_calls
 from likeness.operators.curate import Rules, curate_censored, curate_exact
+from likeness.operators.lineage import lineage_similarity, max_merge
+from likeness.operators.profiles import idf_weight, raw_profiles, smooth, target_idf
 from likeness.plans.registry import Tables
 
 RULES = Rules(types=("A", "N", "R"), assay_types=("F", "O", "P"))
@@ -108,3 +110,36 @@ calls AS (SELECT * FROM graded UNION ALL
 
 SPARSE_CALLS = calls_sql("supplier")
 NATION_CALLS = calls_sql("nation", "l_linestatus")
+
+
+def nation_targets(t: Tables) -> DataFrame:
+    return t.nation.select(F.col("n_nationkey").cast("long").alias("target"))
+
+
+def nation_lineages(t: Tables) -> DataFrame:
+    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").cast("long").alias("target"), F.array("r_name", "n_name").alias("path"))
+
+
+def nation_relatedness(t: Tables) -> DataFrame:
+    """Nations of one region are related by 1/2, each nation to itself by 1."""
+    return max_merge([lineage_similarity(nation_lineages(t), 1, 2)], nation_targets(t))
+
+
+def nation_profiles(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(raw, smoothed) profiles of parts over nations."""
+    raw = raw_profiles(nation_calls(t), nation_targets(t))
+    return raw, smooth(idf_weight(raw, target_idf(raw)), nation_relatedness(t))
+
+
+PROFILES = NATION_CALLS + """,
+raw AS (SELECT entity, target, value FROM calls WHERE target IN (SELECT n_nationkey FROM nation)),
+rel AS (SELECT a.n_nationkey::BIGINT AS t1, b.n_nationkey::BIGINT AS t2,
+ CASE WHEN a.n_nationkey=b.n_nationkey THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS value
+ FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey),
+idf AS (SELECT target, count(*) FILTER (value <> 0) AS hits,
+ ln((SELECT count(DISTINCT entity) FROM raw)::DOUBLE / greatest(count(*) FILTER (value <> 0), 1)) AS idf
+ FROM raw GROUP BY target),
+weighted AS (SELECT entity, target, value*idf AS value FROM raw JOIN idf USING (target)),
+smoothed AS (SELECT entity, t2 AS target, sum(w.value*rel.value) AS value FROM weighted w JOIN rel ON t1=target
+ GROUP BY 1,2 HAVING abs(sum(w.value*rel.value)) > 1e-12)"""

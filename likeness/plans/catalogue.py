@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from likeness.plans import curation  # noqa: F401
+from likeness.plans import curation, likenesses, profiling  # noqa: F401
 from likeness.plans.registry import ORACLES, QUERIES  # noqa: F401
