@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from likeness.functions.draws import uint32
+from likeness.functions.vectors import let
 
 N_BITS = 2048
 SKIP = 5  # widest gap of a skip pair
@@ -21,7 +22,7 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[ \\n\\t\\r]+"), lambda w: w != "")
 
 
-def _windows(words: Column, width: int, make: Callable[[Column], Column]) -> Column:
+def windows(words: Column, width: int, make: Callable[[Column], Column]) -> Column:
     """make(start) for each start of a full window, an empty list when too short."""
     count = F.size(words) - F.lit(width - 1)
     filled = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), make)
@@ -29,13 +30,13 @@ def _windows(words: Column, width: int, make: Callable[[Column], Column]) -> Col
 
 
 def ngrams(words: Column, n: int) -> Column:
-    return _windows(words, n, lambda i: F.array_join(F.slice(words, i, n), " "))
+    return windows(words, n, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
 def skip_pairs(words: Column, gap: int) -> Column:
     """(word, word, gap) for words ``gap`` places apart."""
     at = lambda i: F.element_at(words, i.cast("int"))
-    return _windows(
+    return windows(
         words, gap + 1, lambda i: F.concat_ws(" ", at(i), at(i + gap), F.lit(str(gap))))
 
 
@@ -48,13 +49,17 @@ def token_classes(words: Column) -> Column:
 
 def features(words: Column, kind: str) -> Column:
     """All features of one kind, repeats kept."""
+    if kind == "class":
+        return let(token_classes(words), lambda w: _features(w, "ngram2"))
+    return let(words, lambda w: _features(w, kind))
+
+
+def _features(words: Column, kind: str) -> Column:
     up_to = lambda ws, n: F.concat(*[ngrams(ws, i) for i in range(1, n + 1)])
     if kind == "ngram2":
         return up_to(words, 2)
     if kind == "ngram3":
         return up_to(words, 3)
-    if kind == "class":
-        return up_to(token_classes(words), 2)
     if kind == "path":
         return up_to(words, 7)
     if kind == "pair":

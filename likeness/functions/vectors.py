@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from likeness.functions.scalars import col
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with ``value`` computed once.
+
+    A lambda that mentions an outer expression computes it anew for every
+    element; bound to a lambda variable it is a plain value.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_double(v: Column | str) -> Column:
     return col(v).cast("array<double>")
 
@@ -30,8 +41,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    length = F.greatest(norm(v), F.lit(1e-8))
-    return F.transform(v, lambda x: x / length)
+    return let(F.greatest(norm(v), F.lit(1e-8)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -211,11 +211,8 @@ def _(t):
 
 
 def char_kmers(text, k=5):
-    chars = F.split(text, "")
-    count = F.size(chars) - F.lit(k - 1)
-    made = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-                       lambda i: F.array_join(F.slice(chars, i, k), ""))
-    return F.when(count >= 1, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+    grams = lambda chars: FP.windows(chars, k, lambda i: F.array_join(F.slice(chars, i, k), ""))
+    return F.array_distinct(V.let(F.split(text, ""), grams))
 
 
 @query("sequence_identity_join", """WITH b AS (SELECT md5(text) AS c, min(item_id) AS id, any_value(text) AS text FROM benchmark GROUP BY 1),
