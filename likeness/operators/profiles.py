@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.operators.sampling import random_pairs
+from likeness.session import cut_lineage
 
 # Edges of the profile-size bins and the smallest usable bin.
 SIZE_EDGES = (1, 2, 3, 5, 8, 13, 21, 34, 10**6)
@@ -121,9 +122,9 @@ def background_stats(sample: DataFrame) -> DataFrame:
 
 def background_sample(entities: DataFrame, profiles: DataFrame, per_entity: int, seed: str) -> DataFrame:
     """Random pairs with raw similarity and both bins; a pair drawn twice counts twice."""
-    drawn = random_pairs(entities, "entity", per_entity, seed)
+    drawn = cut_lineage(random_pairs(entities, "entity", per_entity, seed), "drawn")
     scored = drawn.join(cosine_of_pairs(drawn, profiles), ["a", "b"])
-    return with_bins(scored, profile_bins(profiles))
+    return cut_lineage(with_bins(scored, profile_bins(profiles)), "background")
 
 
 def size_matched_z(scored: DataFrame, sample: DataFrame, profiles: DataFrame) -> DataFrame:

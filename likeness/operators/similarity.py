@@ -63,7 +63,9 @@ def block_cells(
     r_own = F.pmod(draw_uint("id", seed="block"), nr)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     lhs = left.select("id", "bits", l_own.alias("lb"), every(nr).alias("rb"))
-    rhs = right.select("id", "bits", every(nl).alias("lb"), r_own.alias("rb"))
+    # Fresh column ids: both sides may come from one frame.
+    fresh = [F.col(c).alias(c) for c in ("id", "bits", "rb")]
+    rhs = right.select("id", "bits", r_own.alias("rb")).select(*fresh, every(nl).alias("lb"))
     return (
         lhs.groupBy(F.col("lb").cast("int"), F.col("rb").cast("int"))
         .cogroup(rhs.groupBy(F.col("lb").cast("int"), F.col("rb").cast("int")))

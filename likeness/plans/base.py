@@ -16,6 +16,7 @@ from likeness.operators.curate import Rules, curate_censored, curate_exact
 from likeness.operators.lineage import lineage_similarity, max_merge
 from likeness.operators.profiles import idf_weight, raw_profiles, smooth, target_idf
 from likeness.plans.registry import Tables
+from likeness.session import cut_lineage
 
 RULES = Rules(types=("A", "N", "R"), assay_types=("F", "O", "P"))
 
@@ -128,8 +129,10 @@ def nation_relatedness(t: Tables) -> DataFrame:
 
 def nation_profiles(t: Tables) -> tuple[DataFrame, DataFrame]:
     """(raw, smoothed) profiles of parts over nations."""
-    raw = raw_profiles(nation_calls(t), nation_targets(t))
-    return raw, smooth(idf_weight(raw, target_idf(raw)), nation_relatedness(t))
+    # Both are read many times over, so each is computed once and written.
+    raw = cut_lineage(raw_profiles(nation_calls(t), nation_targets(t)), "raw")
+    smoothed = smooth(idf_weight(raw, target_idf(raw)), nation_relatedness(t))
+    return raw, cut_lineage(smoothed, "smoothed")
 
 
 PROFILES = NATION_CALLS + """,

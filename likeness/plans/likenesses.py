@@ -14,12 +14,13 @@ from likeness.operators.ordering import sample_n
 from likeness.operators.sampling import random_pairs
 from likeness.plans import sqlparts as Q
 from likeness.plans.registry import query
+from likeness.sources.tables import spread
 
 micro = lambda c: F.array_join(F.transform(c, lambda x: F.bround(x * 1e6).cast("long")), ",")
 
 
 def doc_prints(t, kind="ngram2"):
-    return t.documents.select(F.col("doc_id").alias("id"), FP.bits(FP.tokens(F.col("text")), kind).alias("bits"))
+    return spread(t.documents).select(F.col("doc_id").alias("id"), FP.bits(FP.tokens(F.col("text")), kind).alias("bits"))
 
 
 def _register_fingerprint(name, kind):
@@ -44,7 +45,7 @@ c AS (SELECT id, bit, count(*) AS n FROM fp GROUP BY 1, 2)
 SELECT id AS doc_id, count(*) AS n_bits, sum(n)::BIGINT AS total, max(n) AS highest, sum(n*bit)::BIGINT AS checksum FROM c GROUP BY 1""")
 def _(t):
     feats = FP.features(FP.tokens(F.col("text")), "ngram2")
-    counts = (t.documents.select("doc_id", F.explode(feats).alias("f"))
+    counts = (spread(t.documents).select("doc_id", F.explode(feats).alias("f"))
               .groupBy("doc_id", FP.position(F.col("f")).cast("long").alias("bit"))
               .agg(F.count("*").alias("n")))
     return counts.groupBy("doc_id").agg(
@@ -80,7 +81,7 @@ DESCRIPTORS = """descr AS (SELECT doc_id, length(text)::DOUBLE AS chars,
 
 
 def doc_descriptors(t):
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in descriptors(F.col("text")).items()])
+    return spread(t.documents).select("doc_id", *[c.alias(n) for n, c in descriptors(F.col("text")).items()])
 
 
 @query("descriptor_block", f"""WITH {Q.doc_tokens()}, {DESCRIPTORS}
