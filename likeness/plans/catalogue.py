@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from likeness.plans import curation, evaluation, likenesses, profiling, scoring, shapes  # noqa: F401
+from likeness.plans import curation, evaluation, features, likenesses, modelling, profiling, scoring, shapes  # noqa: F401
 from likeness.plans.registry import ORACLES, QUERIES  # noqa: F401
