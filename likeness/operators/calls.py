@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.functions.scalars import grade_ramp
@@ -16,12 +16,17 @@ INACTIVE = 4.5
 def replicate_stats(exact: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median, min, max and size per group.
 
-    Equal values are counted before the shuffle, so a group's memory is its
-    number of distinct values and not its number of records.
+    Equal values are counted first, so a group's share of a task is its number
+    of distinct values. The median is read off the running count: the window
+    and the aggregate after it use one partitioning, and both spill.
     """
     counted = exact.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return counted.groupBy(*keys).agg(
-        F.percentile(value, F.lit(0.5), F.col("_n")).alias("median"),
+    group = Window.partitionBy(*keys)
+    upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(group)})
+    middle = (F.col("_upto") * 2 >= F.col("_all")) & ((F.col("_upto") - F.col("_n")) * 2 <= F.col("_all"))
+    return run.groupBy(*keys).agg(
+        ((F.min(F.when(middle, F.col(value))) + F.max(F.when(middle, F.col(value)))) / 2.0).alias("median"),
         F.min(value).alias("low"),
         F.max(value).alias("high"),
         F.sum("_n").alias("size"),
@@ -71,13 +76,12 @@ def activity_calls(
     """(entity, target, value, source): graded exact calls, then bounds at -1."""
     stats = spread_filter(replicate_stats(exact, [*pair, *conditions], value))
     graded = best_evidence(stats, pair, conditions).select(
-        *pair, grade_ramp("median").alias("value"), F.lit("exact").alias("source")
-    )
-    bounds = censored_bounds(censored, pair).select(
-        *pair, F.lit(-1.0).alias("value"), F.lit("censored").alias("source")
-    )
-    both = graded.unionByName(bounds)
-    return first_source(both, pair, F.when(F.col("source") == "exact", 0).otherwise(1))
+        *pair, grade_ramp("median").alias("_exact"))
+    bounds = censored_bounds(censored, pair).select(*pair, F.lit(None).cast("double").alias("_exact"))
+    # Both sides hold a pair once, so the exact value is the maximum of one.
+    both = graded.unionByName(bounds).groupBy(*pair).agg(F.max("_exact").alias("_exact"))
+    source = F.when(F.col("_exact").isNotNull(), "exact").otherwise("censored")
+    return both.select(*pair, F.coalesce("_exact", F.lit(-1.0)).alias("value"), source.alias("source"))
 
 
 def min_group(df: DataFrame, key: str, at_least: int) -> DataFrame:

@@ -4,8 +4,8 @@
 the definition of top-k over dense fingerprints demands, but pairs never become
 rows: both sides are cut into hash blocks of bounded expected size, each pair of
 blocks is one small matrix product inside a task, and only the k best of a
-block leave it. ``tanimoto_join`` and ``identity_join`` work from a threshold,
-which allows a rare-feature prefix filter instead.
+block leave it. ``tanimoto_join`` prunes by size first; ``identity_join``, over
+unfolded and mostly rare features, uses a rare-feature prefix filter.
 """
 
 from __future__ import annotations
@@ -169,38 +169,70 @@ def _by_rarity(sets: DataFrame) -> DataFrame:
         "id", "size", "feature", F.row_number().over(order).alias("pos"))
 
 
-def _prefix_candidates(ranked: DataFrame, probe_all: bool, share: float, sized: Column) -> DataFrame:
-    """Distinct (a, b), a the smaller set, that meet on a rare feature.
+def _prefix_candidates(ranked: DataFrame, share: float) -> DataFrame:
+    """Distinct (a, b), a the smaller set, that meet on a rare feature of it.
 
-    Two sets that share ``share`` of the smaller one must meet in the rarest
-    size - ceil(share * size) + 1 features of it.
+    Sets that share ``share`` of the smaller one must meet in one of the rarest
+    size - ceil(share * size) + 1 features of it, so common features, which
+    would pair everything with everything, are not joined on.
     """
     prefix = F.col("pos") <= F.col("size") - F.ceil(F.col("size") * F.lit(share)) + 1
     small = ranked.filter(prefix).select(F.col("id").alias("a"), F.col("size").alias("na"), "feature")
-    other = ranked if probe_all else ranked.filter(prefix)
-    large = other.select(F.col("id").alias("b"), F.col("size").alias("nb"), "feature")
+    large = ranked.select(F.col("id").alias("b"), F.col("size").alias("nb"), "feature")
     ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return small.join(large, "feature").filter(ordered & sized).select("a", "b").distinct()
+    return small.join(large, "feature").filter(ordered).select("a", "b").distinct()
+
+
+def _cell_at_least(threshold: float) -> Callable:
+    def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(left) and len(right):
+            a, b = left["id"].to_numpy(), right["id"].to_numpy()
+            lower = (left["band"].to_numpy() < right["band"].iat[0])[:, None]
+            for start, block in _strips(left, right):
+                own = slice(start, start + len(block))
+                i, j = np.nonzero((block >= threshold) & (lower[own] | (a[own, None] < b[None, :])))
+                found.append((a[own][i], b[j], block[i, j]))
+        if not found:
+            return pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64"})
+        a, b, sim = (np.concatenate(part) for part in zip(*found))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sim": sim})
+
+    return close
 
 
 def tanimoto_join(prints: DataFrame, threshold: float) -> DataFrame:
     """(a, b, sim), a < b: all pairs at or above ``threshold``, exact.
 
-    Equal fingerprints are joined once: the caller passes distinct contents.
-    Either set must hold ``threshold`` of the other, so both sides show only
-    their rare prefix, and their sizes may not differ by more.
+    Sets whose sizes differ by more than the threshold cannot match, so sizes
+    are cut into bands of that ratio and only equal and neighbouring bands meet.
+    Within a band the work is the same block product as in ``nearest``: bits of
+    a folded fingerprint are too common for posting lists. The caller passes
+    distinct contents.
     """
-    ranked = _by_rarity(prints)
-    sized = F.col("na") >= F.lit(threshold) * F.col("nb")
-    found = tanimoto_of_pairs(_prefix_candidates(ranked, False, threshold, sized), prints)
-    return found.filter(F.col("sim") >= threshold).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim")
+    size = F.greatest(F.size("bits"), F.lit(1)).cast("double")
+    band = F.floor(F.ln(size) / F.lit(float(np.log(1 / threshold)))).cast("int")
+    banded = prints.select("id", "bits", band.alias("band"))
+    cores = prints.sparkSession.sparkContext.defaultParallelism
+    n = banded.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    up = lambda rows: F.ceil(n / F.lit(rows)).cast("int")
+    nl, nr = F.greatest(up(QUERY_BLOCK), F.least(up(512), F.lit(cores))), up(REFERENCE_BLOCK)
+    own = draw_uint("id", seed="block")
+    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    lhs = banded.select("id", "bits", "band", F.pmod(own, nl).cast("int").alias("lb"), every(nr).alias("rb"))
+    lhs = lhs.withColumn("rband", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    fresh = [F.col(c).alias(c) for c in ("id", "bits", "band", "rb")]
+    rhs = banded.select("id", "bits", "band", F.pmod(own, nr).cast("int").alias("rb")).select(
+        *fresh, F.col("band").alias("rband")).withColumn("lb", every(nl))
+    cell = ["rband", "lb", "rb"]
+    return (lhs.groupBy(*cell).cogroup(rhs.groupBy(*cell))
+            .applyInPandas(_cell_at_least(threshold), "a long, b long, sim double"))
 
 
 def identity_join(sets: DataFrame, threshold: float = 0.30) -> DataFrame:
     """(a, b, identity), a < b: shared features over the smaller set's size."""
     ranked = _by_rarity(sets)
-    pairs = _prefix_candidates(ranked, True, threshold, F.lit(True))
+    pairs = _prefix_candidates(ranked, threshold)
     left = sets.select(F.col("id").alias("a"), F.col("bits").alias("_ba"))
     right = sets.select(F.col("id").alias("b"), F.col("bits").alias("_bb"))
     identity = F.size(F.array_intersect("_ba", "_bb")) / F.size("_ba")

@@ -17,14 +17,18 @@ from likeness.operators.lineage import lineage_similarity, max_merge
 from likeness.operators.profiles import idf_weight, raw_profiles, smooth, target_idf
 from likeness.plans.registry import Tables
 from likeness.session import cut_lineage
+from likeness.sources.tables import spread
 
 RULES = Rules(types=("A", "N", "R"), assay_types=("F", "O", "P"))
 
 
 def measurements(t: Tables, strict: bool = False) -> DataFrame:
     """``strict`` derives the quality fields too, so that each predicate bites."""
+    lines = t.lineitem.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+        "l_discount", "l_tax", "l_returnflag", "l_linestatus").filter("l_discount < 0.10")  # = validity
     joined = (
-        t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        spread(lines).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )
     line = F.col("l_linenumber")
