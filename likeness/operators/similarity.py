@@ -62,15 +62,20 @@ def block_cells(
     l_own = F.pmod(draw_uint("id", seed="block"), nl)
     r_own = F.pmod(draw_uint("id", seed="block"), nr)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    lhs = left.select("id", "bits", l_own.alias("lb"), every(nr).alias("rb"))
+    lhs = left.select("id", "bits", l_own.cast("int").alias("lb"), every(nr).alias("rb"))
     # Fresh column ids: both sides may come from one frame.
     fresh = [F.col(c).alias(c) for c in ("id", "bits", "rb")]
-    rhs = right.select("id", "bits", r_own.alias("rb")).select(*fresh, every(nl).alias("lb"))
-    return (
-        lhs.groupBy(F.col("lb").cast("int"), F.col("rb").cast("int"))
-        .cogroup(rhs.groupBy(F.col("lb").cast("int"), F.col("rb").cast("int")))
-        .applyInPandas(fn, schema)
-    )
+    rhs = right.select("id", "bits", r_own.cast("int").alias("rb")).select(*fresh, every(nl).alias("lb"))
+    return _per_cell(lhs, rhs, ["lb", "rb"], fn, schema)
+
+
+def _per_cell(lhs: DataFrame, rhs: DataFrame, cell: list[str], fn: Callable, schema: str) -> DataFrame:
+    """Cogroup on the cell. Cells are few bytes and much work, so their
+    partitions are fixed and not merged by size afterwards."""
+    spark = lhs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    lhs, rhs = lhs.repartition(n, *cell), rhs.repartition(n, *cell)
+    return lhs.groupBy(*cell).cogroup(rhs.groupBy(*cell)).applyInPandas(fn, schema)
 
 
 def _top_of_cell(k: int, max_similarity: float) -> Callable:
@@ -224,9 +229,7 @@ def tanimoto_join(prints: DataFrame, threshold: float) -> DataFrame:
     fresh = [F.col(c).alias(c) for c in ("id", "bits", "band", "rb")]
     rhs = banded.select("id", "bits", "band", F.pmod(own, nr).cast("int").alias("rb")).select(
         *fresh, F.col("band").alias("rband")).withColumn("lb", every(nl))
-    cell = ["rband", "lb", "rb"]
-    return (lhs.groupBy(*cell).cogroup(rhs.groupBy(*cell))
-            .applyInPandas(_cell_at_least(threshold), "a long, b long, sim double"))
+    return _per_cell(lhs, rhs, ["rband", "lb", "rb"], _cell_at_least(threshold), "a long, b long, sim double")
 
 
 def identity_join(sets: DataFrame, threshold: float = 0.30) -> DataFrame:

@@ -14,6 +14,7 @@ from likeness.operators.ordering import sample_n
 from likeness.operators.sampling import random_pairs
 from likeness.plans import sqlparts as Q
 from likeness.plans.registry import query
+from likeness.session import cut_lineage
 from likeness.sources.tables import spread
 
 micro = lambda c: F.array_join(F.transform(c, lambda x: F.bround(x * 1e6).cast("long")), ",")
@@ -173,7 +174,7 @@ anchors AS (SELECT doc_id FROM (SELECT doc_id, {Q.position('doc_id', 'anchor')}
 SELECT a, b, round(sim,6) AS sim, rank FROM (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank
  FROM ts JOIN anchors ON doc_id=a WHERE sim <= 0.999) WHERE rank <= 8""")
 def _(t):
-    prints = doc_prints(t)
+    prints = cut_lineage(doc_prints(t), "prints")
     anchors = sample_n(t.documents.select(F.col("doc_id").alias("id")), "id", 20_000, "anchor")
     anchors = prints.join(anchors, "id", "left_semi")
     return SIM.nearest(anchors, prints, 8, max_similarity=0.999).select(
@@ -204,7 +205,7 @@ SELECT a, b, round(sim,6) AS sim, (x.copies*y.copies)::BIGINT AS pairs FROM ts J
 WHERE a < b AND sim >= 0.6""")
 def _(t):
     groups, _members = SIM.content_groups(t.documents, "doc_id", F.md5("text"))
-    prints = doc_prints(t).join(groups, "id", "left_semi")
+    prints = cut_lineage(doc_prints(t).join(groups, "id", "left_semi"), "prints")
     found = SIM.tanimoto_join(prints, 0.6)
     copies = groups.select("id", "copies")
     return (found.join(copies.toDF("a", "ca"), "a").join(copies.toDF("b", "cb"), "b")
@@ -322,7 +323,7 @@ nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim D
 pf AS (SELECT doc_id, 'quality' AS target, quality*2.0::DOUBLE-1.0 AS value FROM labels UNION ALL SELECT doc_id, 'toxic', toxic*2.0::DOUBLE-1.0 FROM labels)
 SELECT a AS doc_id, target, round(sum(sim*value)/sum(sim),6) AS value FROM nn JOIN pf ON doc_id=b GROUP BY 1,2""")
 def _(t):
-    prints, labels = doc_prints(t), t.labels.select(F.col("doc_id").alias("id"))
+    prints, labels = cut_lineage(doc_prints(t), "prints"), t.labels.select(F.col("doc_id").alias("id"))
     queries = prints.join(labels, "id", "left_anti")
     references = prints.join(labels, "id", "left_semi")
     return neighbour_profile(queries, references, doc_profiles(t), 25).select(
