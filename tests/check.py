@@ -1,4 +1,4 @@
-"""python tests/check.py [folder] [name-prefix ...]: run queries against their SQL."""
+"""python tests/check.py [folder] [name | prefix* | !name ...]: run queries against their SQL."""
 
 from __future__ import annotations
 
@@ -17,7 +17,8 @@ from likeness.session import local_session  # noqa: E402
 
 def main():
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    want = sys.argv[2:]
+    want = [a for a in sys.argv[2:] if not a.startswith("!")]
+    skip = {a[1:] for a in sys.argv[2:] if a.startswith("!")}
     spark = local_session(8)
     con = duck(folder)
     queries, sql = entry.queries(), entry.oracle_sql()
@@ -25,6 +26,8 @@ def main():
     for name, fn in queries.items():
         if want and not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in want):
             continue
+        if name in skip:
+            continue
         t = time.time()
         try:
             if name in sql:
