@@ -61,39 +61,29 @@ def doc_tokens(name: str = "tok", table: str = "documents", key: str = "doc_id")
             f"'[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM {table})")
 
 
-def _ngram(n: int, w: str = "w") -> str:
-    return f"list_transform(range(1, len({w})-{n}+2), lambda i: array_to_string({w}[i:i+{n}-1], ' '))"
-
-
 _CLASS = ("list_transform(w, lambda x: least(length(x),8)::VARCHAR || "
           "CASE WHEN regexp_matches(x,'[0-9]') THEN 'd' ELSE 'w' END)")
 
 
-def feature_list(kind: str) -> tuple[str, str]:
-    """(expression over w, expression w is replaced by)."""
-    grams = lambda n: "list_concat(" + ", ".join(_ngram(i) for i in range(1, n + 1)) + ")"
-    if kind == "ngram2":
-        return grams(2), "w"
-    if kind == "ngram3":
-        return grams(3), "w"
-    if kind == "class":
-        return grams(2), _CLASS
-    if kind == "path":
-        return grams(7), "w"
-    if kind == "quad":
-        return _ngram(4), "w"
+def feature_rows(kind: str) -> tuple[str, str]:
+    """(list of features starting at word x, expression w is replaced by)."""
+    ahead = lambda i: f"lead(x,{i}) OVER o"
+    gram = lambda n: " || ' ' || ".join(["x"] + [ahead(i) for i in range(1, n)])
+    upto = lambda n: "[" + ", ".join(gram(i) for i in range(1, n + 1)) + "]"
     if kind == "pair":
-        gaps = [f"list_transform(range(1, len(w)-{g}+1), lambda i: concat_ws(' ', w[i], w[i+{g}], '{g}'))"
-                for g in range(1, 6)]
-        return "list_concat(" + ", ".join(gaps) + ")", "w"
-    raise ValueError(kind)
+        return "[" + ", ".join(f"x || ' ' || {ahead(g)} || ' {g}'" for g in range(1, 6)) + "]", "w"
+    if kind == "quad":
+        return f"[{gram(4)}]", "w"
+    widths = {"ngram2": 2, "ngram3": 3, "class": 2, "path": 7}
+    return upto(widths[kind]), _CLASS if kind == "class" else "w"
 
 
 def fp(name: str, tok: str, kind: str = "ngram2", distinct: bool = True) -> str:
-    feats, words = feature_list(kind)
+    feats, words = feature_rows(kind)
     d = "DISTINCT " if distinct else ""
     return (f"{name} AS MATERIALIZED (SELECT {d}id, ('0x'||substr(md5(f),1,8))::BIGINT % 2048 AS bit FROM "
-            f"(SELECT id, unnest({feats}) AS f FROM (SELECT id, {words} AS w FROM {tok})))")
+            f"(SELECT id, unnest({feats}) AS f FROM (SELECT id, unnest({words}) AS x, generate_subscripts(w,1) AS p FROM {tok}) "
+            f"WINDOW o AS (PARTITION BY id ORDER BY p)) WHERE f IS NOT NULL)")
 
 
 def tanimoto_all(name: str, left: str, right: str) -> str:
