@@ -62,14 +62,14 @@ def metric_points(t):
 
 @query("feature_distance", f"""WITH {PTS}, q AS (SELECT *, (rank() OVER (PARTITION BY entity ORDER BY x) - 1)::DOUBLE AS r FROM pts),
 m AS (SELECT entity, s, 'time' AS metric, x AS v FROM q UNION ALL SELECT entity, s, 'rank', r FROM q UNION ALL SELECT entity, s, 'value', y FROM q)
-SELECT a.entity, a.metric, a.s::BIGINT AS i, b.s::BIGINT AS j, round(avg(abs(a.v-b.v)),5) AS distance FROM m a JOIN m b
+SELECT a.entity, a.metric, a.s::BIGINT AS i, b.s::BIGINT AS j, round(avg(abs(a.v-b.v))+1e-9,5) AS distance FROM m a JOIN m b
  ON a.entity=b.entity AND a.metric=b.metric AND a.s < b.s GROUP BY 1,2,3,4""")
 def _(t):
     out = None
     for name, points in metric_points(t).items():
         d = C.set_distances(points, SETS).select(
             "entity", F.lit(name).alias("metric"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
-            F.round("distance", 5).alias("distance"))
+            F.round(F.col("distance") + 1e-9, 5).alias("distance"))  # off the exact ties of rounding
         out = d if out is None else out.unionByName(d)
     return out
 
