@@ -12,7 +12,7 @@ from likeness.operators.sampling import random_pairs
 from likeness.functions import vectors as V
 from likeness.plans import sqlparts as Q
 from likeness.plans.registry import query
-from likeness.session import scratch_path
+from likeness.session import cut_lineage, scratch_path
 from likeness.sources import results as R
 
 r6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
@@ -93,7 +93,8 @@ def _(t):
  CASE WHEN ok THEN mae END AS mae, CASE WHEN ok THEN rmse END AS rmse, CASE WHEN ok THEN roc_auc END AS roc_auc,
  CASE WHEN ok AND roc_auc IS NOT NULL THEN prec10 END AS prec10, CASE WHEN ok AND roc_auc IS NOT NULL THEN rec10 END AS rec10 FROM tm""")
 def _(t):
-    m = M.task_metrics(predictions(t), ["task", "method"], "id", "y", "pred")
+    rows = cut_lineage(predictions(t), "predictions")  # read once per metric
+    m = M.task_metrics(rows, ["task", "method"], "id", "y", "pred")
     return m.select("task", "method", "n", *r6("spearman", "pearson", "roc_auc", "prec10", "rec10"),
                     F.round("mae", 5).alias("mae"), F.round("rmse", 5).alias("rmse"))
 
@@ -164,8 +165,6 @@ h AS (SELECT 'hop' AS kind, a, b, round(city01-near01,6) AS score FROM r1, q WHE
 c AS (SELECT 'cliff' AS kind, a, b, dy AS score FROM r1 WHERE city01 < 0.1 ORDER BY dy DESC, a, b LIMIT 1)
 SELECT * FROM h UNION ALL SELECT * FROM c""")
 def _(t):
-    from likeness.session import cut_lineage
-
     pairs = cut_lineage(ranked_pairs(t), "ranked")
     q40 = quantile(pairs, ["task"], "dy", 0.4).select("quantile").scalar()
 
@@ -181,8 +180,6 @@ def _(t):
  rank() OVER (ORDER BY city)+(count(*) OVER (PARTITION BY city)-1)/2.0::DOUBLE AS z, rank() OVER (ORDER BY dy)+(count(*) OVER (PARTITION BY dy)-1)/2.0::DOUBLE AS y FROM dd)
 SELECT round(corr(x,y),6) AS near_rho, round(corr(z,y),6) AS city_rho, count(*) AS n FROM rr""")
 def _(t):
-    from likeness.session import cut_lineage
-
     pairs = cut_lineage(pair_distances(t), "pairs")
     rho = lambda c: M.spearman(pairs, ["task"], c, "dy", f"{c}_rho")
     n = pairs.groupBy("task").agg(F.count("*").alias("n"))
