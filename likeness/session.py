@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,13 +34,18 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where the setting is absent (a laptop, the test run) is a folder of
-    our own made and registered.
+    Read from the session, then from the context. A folder of our own is made
+    only on one machine (local master); elsewhere a missing setting is an error,
+    for files in a local folder are seen by one executor alone.
     """
-    base = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
+    base = spark.conf.get(CHECKPOINT_CONF, None) or context.getCheckpointDir()
     if base:
         return base
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     base = tempfile.mkdtemp(prefix="likeness-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
     spark.conf.set(CHECKPOINT_CONF, base)
     return base
 
@@ -58,3 +65,10 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more, on whatever store holds it."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
