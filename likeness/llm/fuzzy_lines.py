@@ -1,7 +1,8 @@
 """Near-equal lines: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Lines are normalised (A-Z lower-cased, runs of white space to one space) and
-equal ones become one class. A class has the SimHash of its words. If two of 64
+equal ones become one class. A class has the SimHash of its distinct
+words (once each, or a mark that fills half of a line would be all of its hash). If two of 64
 bits' fingerprints differ in at most three bits, at least two of their five
 blocks are equal; so each fingerprint is put under its ten pairs of blocks
 (about 26 bits each, hence few chance meetings however many lines there are), and
@@ -39,7 +40,7 @@ def normalise(line: bytes) -> bytes:
 
 
 def _simhashes(lines: list[list[bytes]], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit SimHash of each line's words (each line has some)."""
+    """64-bit SimHash of each line's distinct words (each line has some)."""
     out, start = [], 0
     sizes = np.asarray([len(x) for x in lines])
     while start < len(lines):
@@ -71,7 +72,7 @@ def _lines(batches):
                 found = line.lower().split()
                 rows.append((row_id, doc_id, i))
                 if found:
-                    words.append(found)
+                    words.append(list(set(found)))
                     key = xxh3_128_intdigest(b" ".join(found))
                     keys.append((key >> 64, key & 2 ** 64 - 1))
                 else:

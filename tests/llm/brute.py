@@ -132,7 +132,7 @@ def edit_distance(a, b):
 
 
 def line_hash(line):
-    words = line.split(" ")
+    words = set(line.split(" "))
     hashes = [xxhash.xxh64(w.encode()).intdigest() for w in words]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
