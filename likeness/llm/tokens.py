@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import public_tokenizers
 #: The file of the word tokenizer; any other place can be given.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Words in one of the two generations that a worker remembers, and the longest one.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: Bytes of text whose new words go to the library together.
 TOGETHER = 2 << 20
 STOPS = b".,;:!?"
@@ -78,7 +79,7 @@ class WordEncoder:
             else:
                 wanted.add(word)
         missing = [w for w in wanted if w not in known]
-        fresh = self._letters([w for w in missing if w.isalpha()])  # of bytes: ASCII letters only
+        fresh = self._letters(missing)
         rest = [w for w in missing if w not in fresh]
         for word, found in zip(rest, self._library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             fresh[word] = np.asarray(found.ids, "<u4").tobytes()
@@ -86,8 +87,9 @@ class WordEncoder:
             known[word] = b"".join(fresh[p] if p in fresh else known[p] for p in (stem, stop))
         known.update((w, v) for w, v in fresh.items() if len(w) <= LONGEST or w in words)
 
-    def _letters(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Words of letters only, encoded in one text: each ends with the first id that ends a word."""
+    def _letters(self, missing: list[bytes]) -> dict[bytes, bytes]:
+        """The words of letters only, encoded in one text: each ends with the first id that ends a word."""
+        words = [w for w in missing if w.isalpha() or _composed(w.decode())]  # of bytes: ASCII letters
         ids = np.asarray(self._library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = 4 * (np.flatnonzero(self._last[ids]) + 1) if len(ids) else []
         if len(ends) != len(words):  # a tokenizer without marked word ends
@@ -96,6 +98,11 @@ class WordEncoder:
         return {w: data[a:b] for w, a, b in zip(words, starts, ends)}
 
 
+def _composed(word: str) -> bool:
+    """Letters only, in the normal form that the tokenizer makes: one match of its regular expression."""
+    return word.isalpha() and unicodedata.is_normalized("NFC", word)
+
+
 @functools.lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
     """One encoder for each file and Python worker."""

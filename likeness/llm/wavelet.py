@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +47,14 @@ class WaveletMatrix:
         now = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, counts = [], []
         for k in reversed(range(width)):
-            bit = (now >> k) & 1 > 0
+            bit = (now & now.dtype.type(1 << k)).astype(bool)
             packed = np.packbits(bit, bitorder="little")
             planes.append(packed)
             counts.append(_directory(packed, len(ids)))
-            now = np.concatenate([now[~bit], now[bit]])
+            following, zeros = np.empty_like(now), len(now) - int(counts[-1][-1])
+            np.compress(~bit, now, out=following[:zeros])
+            np.compress(bit, now, out=following[zeros:])
+            now = following
         return cls(len(ids), planes, counts)
 
     def to_bytes(self) -> bytes:
@@ -170,7 +174,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                 "part": part, "shard": shard, "docs": len(ids), "tokens": int(lengths.sum()),
                 "doc_ids": np.asarray([k or 0 for k in keys], "<i8").tobytes(), "lengths": lengths.tobytes(),
                 "present": np.asarray([k is not None for k in keys]).tobytes(),
-                "matrix": zlib.compress(matrix.to_bytes(), 1)}])
+                "matrix": zstandard.ZstdCompressor(level=1).compress(matrix.to_bytes())}])
 
         for batch in batches:
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
@@ -205,7 +209,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str = WORD_BPE, end_id:
 def _documents(batches):
     for batch in batches:
         for row in batch.to_pylist():
-            ids = WaveletMatrix.from_bytes(zlib.decompress(row["matrix"])).decode().astype("<u4")
+            ids = WaveletMatrix.from_bytes(zstandard.decompress(row["matrix"])).decode().astype("<u4")
             lengths = np.frombuffer(row["lengths"], "<i8")
             ends = np.cumsum(lengths)
             data = memoryview(ids.tobytes())
@@ -244,7 +248,7 @@ def occurrences(spark, path: str, token: int) -> DataFrame:
     def look(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                at = WaveletMatrix.from_bytes(zlib.decompress(row["matrix"])).positions(token)
+                at = WaveletMatrix.from_bytes(zstandard.decompress(row["matrix"])).positions(token)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row["part"]] * len(at), pa.int64()), pa.array([row["shard"]] * len(at), pa.int64()),
                      pa.array(at, pa.int64())], ["part", "shard", "position"])
