@@ -12,6 +12,7 @@ as texts.
 
 from __future__ import annotations
 
+import os
 from itertools import combinations
 
 import numpy as np
@@ -29,8 +30,6 @@ BITS, BLOCKS = 3, 5
 SIMILARITY = 0.8
 #: Words whose hashes a worker remembers; word hashes whose bits are counted at once.
 REMEMBERED, AT_ONCE = 400_000, 1 << 18
-#: Distance that is tried before the full one; near copies seldom need more.
-FIRST_TRY = 48
 #: Fingerprints of one bucket that are compared at once.
 ROWS = 2048
 
@@ -46,8 +45,7 @@ def _simhashes(lines: list[list[bytes]], known: dict[bytes, int]) -> np.ndarray:
     while start < len(lines):
         stop = max(start + 1, start + int(np.searchsorted(np.cumsum(sizes[start:]), AT_ONCE, side="right")))
         words = [w for line in lines[start:stop] for w in line]
-        for w in set(words) - known.keys():
-            known[w] = xxh64_intdigest(w)
+        known.update((w, xxh64_intdigest(w)) for w in set(words) if w not in known)
         hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         n = sizes[start:stop]
@@ -192,7 +190,7 @@ def fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY, bits: int = BIT
     texts = ws.write(found, "texts")
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("cid").alias("b"), F.col("line").alias("y")), "b")
-    links = ws.write(both.filter(edit_similar("x", "y", similarity)).select("a", "b"), "links")
+    links = ws.write(both.mapInArrow(_verified(similarity), "a long, b long"), "links")
     roots = components(ws, links, "a", "b")
     grouped = classes.join(roots, classes["cid"] == roots["node"], "left").select(
         "k1", "k2", "first", F.coalesce("root", "cid").alias("group_id"))
@@ -204,14 +202,43 @@ def fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY, bits: int = BIT
         (F.col("group_id").isNull() | F.coalesce(place.eqNullSafe(F.col("head")), F.lit(False))).alias("kept"))
 
 
-def edit_similar(x: str, y: str, similarity: float):
-    """Edit distance within (1 - similarity) of the longer length; a small bound is tried first."""
-    share = 1 - similarity
-    allowed = f"cast(floor({share!r} * greatest(length({x}), length({y})) + 1e-9) AS int)"
-    close = f"abs(length({x}) - length({y})) <= {allowed}"
-    first = f"levenshtein({x}, {y}, least({FIRST_TRY}, {allowed})) >= 0"
-    rest = f"({allowed} > {FIRST_TRY} AND levenshtein({x}, {y}, {allowed}) >= 0)"
-    return F.expr(f"{close} AND ({first} OR {rest})")
+def edit_within(a: str, b: str, allowed: int) -> bool:
+    """Whether the edit distance is at most ``allowed``; equal beginnings and ends are cut off first."""
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    start = len(os.path.commonprefix([a, b]))
+    a, b = a[start:], b[start:]
+    end = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    a, b = a[:len(a) - end], b[:len(b) - end]
+    if max(len(a), len(b)) <= allowed:
+        return True
+    # One column of the distance table at a time, its steps of +1 and -1 as bits of two integers.
+    where: dict[str, int] = {}
+    for i, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1 if a else 0
+    up, down, distance = full, 0, len(a)
+    for i, c in enumerate(b):
+        same = where.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(across | up)) & full, up & across
+        distance += (more & last > 0) - (less & last > 0)
+        if distance - (len(b) - i - 1) > allowed:
+            return False
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        kept = same | down
+        up, down = (less | ~(kept | more)) & full, more & kept
+    return (distance if a else len(b)) <= allowed
+
+
+def _verified(similarity: float):
+    def verify(batches):
+        for batch in batches:
+            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+            ok = pa.array([edit_within(p, q, int((1 - similarity) * max(len(p), len(q)) + 1e-9)) for p, q in zip(x, y)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(ok)
+
+    return verify
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

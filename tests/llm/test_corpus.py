@@ -293,6 +293,15 @@ def test_fuzzy_lines(spark, case):
     same(got, want)
 
 
+def test_edit_within():
+    gen = random.Random(7)
+    for _ in range(3000):
+        a = "".join(gen.choice("abc ") for _ in range(gen.randrange(14)))
+        b = a if gen.random() < 0.3 else "".join(gen.choice("abc ") for _ in range(gen.randrange(14)))
+        d = brute.edit_distance(a, b)
+        assert [fuzzy_lines.edit_within(a, b, n) for n in range(15)] == [d <= n for n in range(15)], (a, b)
+
+
 def test_fuzzy_lines_awkward_rows_and_text(spark):
     got = fuzzy_lines.fuzzy_lines(table(spark, AWKWARD))
     assert got.count() == sum((t or "").count("\n") + 1 for _, t in AWKWARD)
