@@ -56,12 +56,12 @@ def censored_bounds(censored: DataFrame, keys: Sequence[str], limit: float = INA
 
 
 def first_source(df: DataFrame, keys: Sequence[str], precedence: Column | str) -> DataFrame:
-    """One row per key: the one whose source comes first."""
+    """One row per key: the one whose source comes first; of equal sources, the least row."""
     rest = [c for c in df.columns if c not in keys]
     rank = F.col(precedence) if isinstance(precedence, str) else precedence
     return (
         df.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), rank).alias("_first"))
+        .agg(F.min_by(F.struct(*rest), F.struct(rank, *rest)).alias("_first"))
         .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
     )
 

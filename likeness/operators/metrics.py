@@ -20,9 +20,16 @@ def _centred(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFr
     return ranks.select(*keys, value, (F.col("avg_rank") - (F.col("total") + 1) / 2.0).alias(out))
 
 
+def present(df: DataFrame, *values: str) -> DataFrame:
+    """Rows in which all values are there and finite: NULL, NaN and infinities have no rank."""
+    for value in values:
+        df = df.filter(F.abs(F.col(value).cast("double")) < float("inf"))  # NaN is above infinity
+    return df
+
+
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman") -> DataFrame:
-    """Rank correlation with averaged ties; NULL when either side is constant."""
-    keys = list(keys)
+    """Rank correlation with averaged ties over rows with both values; NULL when either side is constant."""
+    keys, df = list(keys), present(df, x, y)
     cells = df.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_n"))
     ranked = cells.join(_centred(df, keys, x, "_rx"), [*keys, x]).join(_centred(df, keys, y, "_ry"), [*keys, y])
     moment = lambda a, b: F.sum(F.col("_n") * F.col(a) * F.col(b))
@@ -36,8 +43,11 @@ def linear_correlation(x: str, y: str) -> Column:
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str], score: str, label: str, out: str = "auc") -> DataFrame:
-    """AUC from averaged ranks; NULL when a class is missing. ``label`` is boolean."""
-    ranks = value_ranks(df, keys, score, [F.count_if(F.col(label)).cast("double").alias("_pos")])
+    """AUC from averaged ranks; NULL when a class is missing. ``label`` is boolean.
+
+    Rows without a finite score or without a label don't count.
+    """
+    ranks = value_ranks(present(df, score).filter(F.col(label).isNotNull()), keys, score, [F.count_if(F.col(label)).cast("double").alias("_pos")])
     pos = F.sum("_pos")
     neg = F.sum("n") - pos
     won = F.sum(F.col("_pos") * F.col("avg_rank")) - pos * (pos + 1) / 2.0

@@ -344,3 +344,13 @@ def test_landmark_process_with_all_points_fits(spark):
     model = MD.fit_landmark_process(train, d)
     pred = np.array([r[0] for r in train.select(MD.process_prediction("d", model)).collect()])
     assert np.abs(pred - y).max() < 0.15
+
+
+def test_missing_scores_have_no_rank(spark):
+    from likeness.operators.metrics import roc_auc, spearman
+
+    odd = [None, float("nan"), float("inf"), float("-inf")]
+    rows = [("a", odd[i // 10 % 4] if i % 10 == 0 else float(i), float(i), i >= 75) for i in range(150)]
+    df = spark.createDataFrame(rows, "task string, score double, truth double, active boolean")
+    assert abs(roc_auc(df, ["task"], "score", "active").first()["auc"] - 1) < 1e-12
+    assert abs(spearman(df, ["task"], "score", "truth").first()["spearman"] - 1) < 1e-12
