@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from likeness.llm.stores import Workspace
 from likeness.llm.tokens import WORD_BPE, word_encoder
 
 #: Lengths in one block of the running sums.
@@ -41,6 +42,8 @@ def length_histogram(counts: DataFrame) -> DataFrame:
     """
     histogram = counts.groupBy("n_tokens").agg(F.count("*").alias("docs")).withColumn(
         "tokens", F.col("docs") * F.col("n_tokens")).withColumn("block", F.expr(f"n_tokens div {BLOCK}"))
+    # Read twice below; a row for each length, so that texts are encoded once.
+    histogram = Workspace(counts.sparkSession, "lengths").write(histogram, "histogram")
     blocks = histogram.groupBy("block").agg(F.sum("docs").alias("bd"), F.sum("tokens").alias("bt"))
     later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)  # one row for each block of lengths
     whole = Window.partitionBy(F.lit(0))
