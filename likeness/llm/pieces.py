@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: The file of the piece model; any other place can be given.
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 #: Chunks in one of the two generations that a worker remembers, and the longest one.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 250_000, 64
 #: Texts whose new chunks go to the library together.
 TOGETHER = 256
 SPACE = "▁".encode()
