@@ -1,7 +1,15 @@
 """Entropic fused Gromov-Wasserstein costs for a table of cloud pairs.
 
-Spark spreads the pairs; inside a task a batch of pairs is solved at once with
-arrays padded to the largest cloud. Clouds are small by construction.
+Spark spreads the pairs; inside a task the pairs of a batch are solved together
+with arrays padded to the largest cloud. Clouds are small by construction.
+
+The couplings are found by mirror descent on the set of couplings: every step
+takes the geometric mean of the present plan and of the Gibbs kernel of its
+linearised cost, then scales rows and columns back to the masses until they
+hold. A plan that no longer moves satisfies plan = diag(u) exp(-cost/epsilon)
+diag(v), the condition of the entropic problem. What is left of the masses'
+error is spread as a product measure, so marginals are exact. The start is the
+product of the masses; clouds whose points nothing tells apart stay there.
 """
 
 from __future__ import annotations
@@ -15,6 +23,7 @@ from pyspark.sql import functions as F
 
 # The short solver setting (the long one is 200 outer, 50 inner).
 SOLVER = {"alpha": 0.5, "epsilon": 0.05, "outer": 60, "inner": 20, "tol": 1e-9}
+LOWEST = -300.0  # scores this far below the best of their row and column count as equal
 
 
 def _padded(batch: pd.DataFrame, side: str, width: int):
@@ -32,49 +41,73 @@ def _padded(batch: pd.DataFrame, side: str, width: int):
     return types, mass, dist / scale[:, None, None]
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    top = np.where(np.isfinite(top), top, 0.0)
-    with np.errstate(divide="ignore"):
-        return np.squeeze(top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True)), axis=axis)
+def _ratio(wanted: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """wanted / found, 0 at padding (where nothing is wanted)."""
+    return wanted / np.where(wanted > 0, found, 1.0)
+
+
+def _coupling(score: np.ndarray, a: np.ndarray, b: np.ndarray, rounds: int, tol: float) -> np.ndarray:
+    """exp(score), scaled to row sums ``a`` and column sums ``b``; padding scores -inf.
+
+    Constants per row or column do not matter to the result, so each row and
+    column is first lifted to have 0 as its largest score and nothing vanishes.
+    """
+    for axis in (2, 1):
+        top = score.max(axis, keepdims=True)
+        score = score - np.where(np.isfinite(top), top, 0.0)
+    kernel = np.where(np.isfinite(score), np.exp(np.maximum(score, LOWEST)), 0.0)
+    v = np.ones_like(b)
+    for _ in range(rounds):
+        reached = np.einsum("pij,pj->pi", kernel, v)
+        u = _ratio(a, reached)
+        against = np.einsum("pij,pi->pj", kernel, u)
+        gap = np.abs(v * against - b).sum(1).max()  # of the plan before its columns are set
+        v = _ratio(b, against)
+        if gap < tol:
+            break
+    return u[:, :, None] * kernel * v[:, None, :]
+
+
+def _settle(plan: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The coupling with exact marginals next to ``plan``."""
+    plan = plan * np.minimum(_ratio(a, plan.sum(2)), 1.0)[:, :, None]
+    plan = plan * np.minimum(_ratio(b, plan.sum(1)), 1.0)[:, None, :]
+    lack_a, lack_b = a - plan.sum(2), b - plan.sum(1)
+    total = np.maximum(lack_a.sum(1), np.finfo(float).tiny)
+    return plan + lack_a[:, :, None] * lack_b[:, None, :] / total[:, None, None]
 
 
 def solve(batch: pd.DataFrame, type_cost: np.ndarray, alpha, epsilon, outer, inner, tol):
-    """(costs, plans) of all pairs in ``batch``; ``alpha`` is one number per pair."""
+    """(costs, plans) of all pairs in ``batch``; ``alpha`` is one number per pair.
+
+    Each pair takes steps until its plan moves by less than ``tol``, at most
+    ``outer`` of them, each with at most ``inner`` rounds of scaling.
+    """
     width = max(max(map(len, batch["types_a"])), max(map(len, batch["types_b"])))
-    ta, a, da = _padded(batch, "a", width)
-    tb, b, db = _padded(batch, "b", width)
-    real_a, real_b = a > 0, b > 0
-    both = real_a[:, :, None] & real_b[:, None, :]
-    share = np.asarray(alpha, dtype=float)[:, None, None]
-    colour = type_cost[ta[:, :, None], tb[:, None, :]]
-    fixed = np.einsum("pij,pj->pi", da**2, a)[:, :, None] + np.einsum("pij,pj->pi", db**2, b)[:, None, :]
-
-    def bend(plan):
-        return fixed - 2.0 * (da @ plan @ db.transpose(0, 2, 1))
-
-    with np.errstate(divide="ignore"):
-        log_a, log_b = np.log(a), np.log(b)
-    plan = a[:, :, None] * b[:, None, :]
-    open_pairs = np.ones(len(batch), dtype=bool)
+    types_a, a, dist_a = _padded(batch, "a", width)
+    types_b, b, dist_b = _padded(batch, "b", width)
+    alpha = np.asarray(alpha, dtype=float)[:, None, None]
+    tint = (1.0 - alpha) * type_cost[types_a[:, :, None], types_b[:, None, :]]
+    # |x - y|^2 = x^2 + y^2 - 2xy, summed under a plan: the squares depend on the masses alone.
+    squares = ((dist_a**2) @ a[:, :, None]) + ((dist_b**2) @ b[:, :, None]).transpose(0, 2, 1)
+
+    def linearised(plan, rows):
+        return tint[rows] + alpha[rows] * (squares[rows] - 2.0 * (dist_a[rows] @ plan @ dist_b[rows]))
+
+    plans = a[:, :, None] * b[:, None, :]
+    moving = np.arange(len(batch))
     for _ in range(outer):
-        kernel = np.where(both, -((1.0 - share) * colour + share * bend(plan)) / epsilon, -np.inf)
-        kernel = kernel - kernel.max((1, 2), keepdims=True)
-        g = np.zeros_like(b)
-        for _ in range(inner):
-            f = np.where(real_a, log_a - np.where(real_a, _log_sum(kernel + g[:, None, :], 2), 0.0), -np.inf)
-            g = np.where(real_b, log_b - np.where(real_b, _log_sum(kernel + f[:, :, None], 1), 0.0), 0.0)
-        moved = np.where(both, np.exp(np.where(both, f[:, :, None] + kernel + g[:, None, :], -np.inf)), 0.0)
-        moved = np.where(open_pairs[:, None, None], moved, plan)
-        change = np.abs(moved - plan).sum((1, 2))
-        plan = moved
-        open_pairs &= change >= tol
-        if not open_pairs.any():
+        now = plans[moving]
+        with np.errstate(divide="ignore"):
+            score = 0.5 * (np.log(now) - linearised(now, moving) / epsilon)
+        step = _coupling(score, a[moving], b[moving], inner, tol)
+        plans[moving] = step
+        moving = moving[np.abs(step - now).sum((1, 2)) >= tol]
+        if not len(moving):
             break
-    shape = (bend(plan) * plan).sum((1, 2))
-    tint = (colour * plan).sum((1, 2))
-    share = share[:, 0, 0]
-    return np.maximum((1.0 - share) * tint + share * shape, 0.0), plan
+    plans = _settle(plans, a, b)
+    everything = np.arange(len(batch))
+    return np.maximum((linearised(plans, everything) * plans).sum((1, 2)), 0.0), plans
 
 
 def attach_clouds(pairs: DataFrame, clouds: DataFrame) -> DataFrame:

@@ -13,13 +13,10 @@ from likeness.session import cut_lineage
 
 TYPES = ["click", "view", "purchase", "signup"]  # error events are of no known type
 SETS = 2 * len(TYPES)  # each type before and after noon
-# Graded mismatch of types, 0 for the same, 1 for unrelated ones.
-TYPE_COST = [
-    [0.0, 0.5, 0.4, 1.0],
-    [0.5, 0.0, 1.0, 1.0],
-    [0.4, 1.0, 0.0, 0.5],
-    [1.0, 1.0, 0.5, 0.0],
-]
+# Mismatch of types: how far apart they lie on the way from looking to joining, as a
+# share of the whole way (view, click, purchase, signup).
+STAGE = {"view": 0, "click": 1, "purchase": 2, "signup": 3}
+TYPE_COST = [[abs(STAGE[a] - STAGE[b]) / (len(STAGE) - 1) for b in TYPES] for a in TYPES]
 EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 
 
@@ -127,6 +124,19 @@ def _(t):
     return T.fgw_plans(ring(clouds), clouds, TYPE_COST)
 
 
+@query("fgw_plan_marginals", f"""WITH {PTS}, o AS (SELECT DISTINCT entity, s FROM pts),
+p AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY s) - 1 AS position, round(1.0::DOUBLE / count(*) OVER (PARTITION BY entity), 9) AS mass FROM o)
+SELECT side, entity, position, mass FROM p, (VALUES ('a'), ('b')) v(side)""")
+def _(t):
+    """What each point sends (side a) and receives (side b): every entity is once on either side."""
+    clouds = cut_lineage(event_clouds(t), "clouds")
+    moved = T.fgw_plans(ring(clouds), clouds, TYPE_COST)
+    ends = F.inline(F.array(
+        F.struct(F.lit("a").alias("side"), F.col("a").alias("entity"), F.col("i").cast("long").alias("position"), "mass"),
+        F.struct(F.lit("b").alias("side"), F.col("b").alias("entity"), F.col("j").cast("long").alias("position"), "mass")))
+    return moved.select(ends).groupBy("side", "entity", "position").agg(F.round(F.sum("mass"), 9).alias("mass"))
+
+
 @query("param_sweep")
 def _(t):
     """Spearman of cost against the gap in mean value, by alpha and by metric."""

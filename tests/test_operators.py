@@ -252,6 +252,58 @@ def test_transport_properties():
     assert alone[0] == pytest.approx(cost[0], abs=1e-12)  # padding does not matter
 
 
+def test_transport_of_two_points_against_a_scan():
+    """Couplings of two points with two points have one free number: try them all.
+
+    The regularisation is strong, for near a permutation scaling hardly moves and logs of its small entries say little.
+    """
+    eps = 0.5
+    cloud = lambda types, d: {"types": types, "weights": [0.5, 0.5], "dist": [[0.0, d], [d, 0.0]]}
+    for types_a, types_b in (([0, 1], [1, 0]), ([0, 2], [2, 1]), ([1, 0], [2, 0])):
+        _, plan = T.solve(cloud_batch([(cloud(types_a, 1.0), cloud(types_b, 3.0))]), np.array(COST), np.array([0.5]), eps, 500, 200, 1e-12)
+        x = plan[0, 0, 0]
+        assert plan[0].sum(0) == pytest.approx([0.5, 0.5], abs=1e-12) and plan[0].sum(1) == pytest.approx([0.5, 0.5], abs=1e-12)
+        # Stationary: no scaling of rows and columns is left over in plan * exp(cost / eps).
+        colour = np.array(COST)[np.ix_(types_a, types_b)]
+        unit = np.array([[0.0, 1.0], [1.0, 0.0]])
+        shape = np.array([[((unit[i][:, None] - unit[j][None]) ** 2 * plan[0]).sum() for j in (0, 1)] for i in (0, 1)])
+        tilt = np.log(plan[0]) + 0.5 * (colour + shape) / eps
+        assert tilt[0, 0] + tilt[1, 1] == pytest.approx(tilt[0, 1] + tilt[1, 0], abs=1e-5)
+        grid = np.linspace(1e-6, 0.5 - 1e-6, 20001)
+        cells = np.stack([grid, 0.5 - grid, 0.5 - grid, grid])
+        cost = (colour.ravel()[:, None] * cells).sum(0)
+        bent = 2 * grid * (1 - 2 * grid) * 2  # sum over (i,k,j,l) of (unit_ij - unit_kl)^2 plan plan
+        energy = 0.5 * cost + 0.25 * bent + eps * (cells * np.log(cells)).sum(0)
+        near = energy[np.abs(grid - x) < 0.02]
+        assert np.interp(x, grid, energy) <= near.min() + 1e-4  # a minimum of its neighbourhood
+
+
+def test_landmark_process_equals_the_dense_formula(spark):
+    """Evidence and weights against the n x n covariance, and constant or missing targets."""
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=(40, 2)), rng.normal(size=(6, 2))
+    d = np.sqrt(((x[:, None] - z[None]) ** 2).sum(-1))
+    between = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    y = np.sin(x[:, 0]) + 0.1 * rng.normal(size=40)
+    cells = lambda ys: frame(spark, [(r.tolist(), v) for r, v in zip(d, ys)], "d array<double>, y double")
+    model = MD.fit_landmark_process(cells([float(v) for v in y]), between)
+    t = (y - y.mean()) / y.std()
+    best = None
+    for gamma in MD.GAMMAS:
+        k, prior = np.exp(-gamma * d), np.exp(-gamma * between)
+        for noise in MD.NOISES:
+            cov = k @ np.linalg.inv(prior) @ k.T + noise * np.eye(40)
+            fit = -0.5 * (t @ np.linalg.solve(cov, t) + np.linalg.slogdet(cov)[1] + 40 * np.log(2 * np.pi))
+            if best is None or fit > best[0]:
+                best = (fit, gamma, noise, np.linalg.solve(k.T @ k + noise * prior, k.T @ t) * y.std())
+    assert (model["gamma"], model["noise"]) == best[1:3]
+    assert model["fit"] == pytest.approx(best[0], rel=1e-6) and model["weights"] == pytest.approx(best[3], rel=1e-5)
+    flat = MD.fit_landmark_process(cells([2.0] * 40), between)
+    assert np.abs(flat["weights"]).max() < 1e-9 and flat["mean"] == 2.0
+    none = MD.fit_landmark_process(cells([None] * 40), between)
+    assert none["mean"] is None
+
+
 # --- metrics and boards -------------------------------------------------------
 
 
