@@ -25,16 +25,17 @@ def random_pairs(entities: DataFrame, key: str, per_entity: int, seed: str) -> D
     return draws.join(left, "_l").join(right, "_r").select("draw", "a", "b")
 
 
-def group_pairs(members: DataFrame, group: str, key: str, seed: str, cap: int = 400) -> DataFrame:
-    """(group, draw, a, b): min(2 n, cap) draws with replacement in each group.
+def group_pairs(members: DataFrame, group: str, key: str, seed: str, per_member: int = 2) -> DataFrame:
+    """(group, draw, a, b): ``per_member`` x n draws with replacement in each group of n >= 2.
 
     A hot group is numbered in hash buckets and joined on (group, position), so
-    it spreads over all tasks; the number of draws per group is the cap.
+    it spreads over all tasks. Its draws are numbered from its members, so they are
+    made where those lie and no row stands for a whole group.
     """
-    indexed = dense_index(members.select(group, key), key, seed, [group], index="idx")
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    last = F.least(F.col("n") * 2, F.lit(cap)) - 1
-    draws = sizes.select(group, "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("draw")).select(
+    indexed = dense_index(members.select(group, key), key, seed, [group], index="idx", total="n").filter("n >= 2")
+    turns = F.explode(F.sequence(F.lit(0), F.lit(per_member - 1))).alias("_turn")
+    numbered = indexed.select(group, "n", (F.col("idx") * per_member).alias("_first"), turns)
+    draws = numbered.withColumn("draw", F.col("_first") + F.col("_turn")).select(
         group,
         "draw",
         draw_below(F.col("n"), group, "draw", seed=f"{seed}L").alias("_l"),

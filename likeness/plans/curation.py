@@ -222,9 +222,9 @@ def _(t):
     return C.censored_bounds(censored, ["entity", "target"]).withColumn("bound", F.round("bound", 6))
 
 
-@query("precedence_dedup", f"WITH {NATION_CALLS} SELECT source, count(*) AS n FROM calls GROUP BY source")
+@query("precedence_dedup", f"WITH {NATION_CALLS} SELECT entity, target, round(value,6) AS value, source FROM calls")
 def _(t):
-    return nation_calls(t).groupBy("source").agg(F.count("*").alias("n"))
+    return nation_calls(t).select("entity", "target", F.round("value", 6).alias("value"), "source")
 
 
 @query("activity_calls", f"WITH {SPARSE_CALLS} SELECT entity, target, round(value,6) AS value, source FROM calls")

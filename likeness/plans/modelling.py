@@ -20,6 +20,7 @@ from likeness.operators.splits import group_disjoint_split
 from likeness.plans.base import nation_profiles
 from likeness.plans.evaluation import part_prints
 from likeness.plans.likenesses import doc_descriptors, doc_prints, vectors
+from likeness.plans.profiling import content_key
 from likeness.plans.registry import query
 from likeness.session import cut_lineage, scratch_path
 
@@ -38,7 +39,7 @@ def folded(bits, width=FOLD):
 def text_task(t):
     """(task, id, split, y, features): label quality of documents, by language."""
     grouped = group_disjoint_split(
-        t.documents.select("doc_id", "lang", F.concat("lang", "source").alias("grp")), "grp", 0.3, "text")
+        t.documents.select("doc_id", "lang", content_key(F.col("text")).alias("grp")), "grp", 0.3, "text")
     bits = doc_prints(t).select(F.col("id").alias("doc_id"), MD.as_vector(folded(F.col("bits"))).alias("bits"))
     rows = grouped.join(t.labels, "doc_id").join(doc_descriptors(t), "doc_id").join(bits, "doc_id")
     side = F.when(F.col("split") == 1, "test").otherwise("train")
@@ -75,14 +76,18 @@ def _(t):
 
 @query("transfer_eval")
 def _(t):
+    """One score per task and feature set; NULL for tasks below 30 training or 20 test rows."""
     data = text_task(t)
     big = data.groupBy("task").agg(F.count_if(F.col("split") == "train").alias("a"), F.count_if(F.col("split") == "test").alias("b"))
     tasks = [r["task"] for r in big.filter("a >= 30 AND b >= 20").orderBy("task").select("task").collect()]
     sets = {k: FEATURES[k] for k in ("descriptors", "fingerprint", "both")}
-    if not tasks:  # no endpoint is large enough by itself
-        data, tasks = data.withColumn("task", F.lit("all")), ["all"]
-    pred = cut_lineage(MD.task_predictions(data, tasks, sets, trees=TREES, min_leaf=2), "pred")
-    per = M.spearman(pred, ["task", "method"], "y", "pred")
+    every = big.select("task", F.explode(F.array(*map(F.lit, sets))).alias("method"))
+    if tasks:
+        pred = cut_lineage(MD.task_predictions(data, tasks, sets, trees=TREES, min_leaf=2), "pred")
+        per = every.join(M.spearman(pred, ["task", "method"], "y", "pred"), ["task", "method"], "left").select(
+            "task", "method", "spearman")
+    else:
+        per = every.withColumn("spearman", F.lit(None).cast("double"))
     mean = per.filter("spearman IS NOT NULL").groupBy("method").agg(F.avg("spearman").alias("spearman"))
     return per.unionByName(mean.select(F.lit("mean").alias("task"), "method", "spearman"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from likeness.operators import lineage as L
@@ -156,9 +157,9 @@ def _(t):
 
 @query("max_merge", """WITH fam AS (SELECT a.n_nationkey AS t1, b.n_nationkey AS t2, 0.5::DOUBLE AS value
   FROM nation a JOIN nation b ON a.n_regionkey=b.n_regionkey AND a.n_nationkey < b.n_nationkey),
- lane AS (SELECT DISTINCT s_nationkey AS t1, c_nationkey AS t2, 0.75::DOUBLE AS value FROM lineitem
+ lane AS (SELECT t1, t2, 0.75::DOUBLE AS value FROM (SELECT s_nationkey AS t1, c_nationkey AS t2, sum(l_quantity) AS q FROM lineitem
   JOIN supplier ON l_suppkey=s_suppkey JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey
-  WHERE l_quantity >= 50 AND l_discount >= 0.10),
+  GROUP BY 1, 2) QUALIFY q > avg(q) OVER ()),
  st AS (SELECT n_nationkey AS t1, n_nationkey AS t2, 1.0::DOUBLE AS value FROM nation
   UNION ALL SELECT * FROM fam UNION ALL SELECT t2, t1, value FROM fam
   UNION ALL SELECT * FROM lane UNION ALL SELECT t2, t1, value FROM lane)
@@ -167,38 +168,48 @@ def _(t):
     from likeness.plans.base import nation_lineages
 
     family = L.lineage_similarity(nation_lineages(t), 1, 2)
-    lanes = (
-        t.lineitem.filter("l_quantity >= 50 AND l_discount >= 0.10")
+    carried = (
+        t.lineitem
         .join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-        .select(F.col("s_nationkey").cast("long").alias("t1"), F.col("c_nationkey").cast("long").alias("t2"),
-                F.lit(0.75).alias("value")).distinct()
+        .groupBy(F.col("s_nationkey").cast("long").alias("t1"), F.col("c_nationkey").cast("long").alias("t2"))
+        .agg(F.sum("l_quantity").alias("q"))
     )
+    # Lanes that carry more than the average one; at most nations x nations rows meet in the window.
+    lanes = carried.withColumn("mean", F.avg("q").over(Window.partitionBy(F.lit(0)))).filter("q > mean").select(
+        "t1", "t2", F.lit(0.75).alias("value"))
     return L.max_merge([family, lanes], nation_targets(t))
 
 
 # --- splits -------------------------------------------------------------------
 
 
-@query("group_key", """SELECT doc_id, coalesce(CASE WHEN n_chars >= 200 THEN
- regexp_replace(regexp_replace(lower(substr(url_free,1,0) || lang || source),'[0-9]+','#','g'),'x','y') END,'') AS grp
- FROM (SELECT *, '' AS url_free FROM documents)""")
-def _(t):
-    template = F.regexp_replace(F.regexp_replace(F.lower(F.concat("lang", "source")), "[0-9]+", "#"), "x", "y")
-    key = O.group_key(F.when(F.col("n_chars") >= 200, template))
-    return t.documents.select("doc_id", key.alias("grp"))
+def content_key(text):
+    """Texts that differ in numbers, case and white space only have one key; '' for NULL."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "#"), "[ \\n\\t\\r]+", " ")
+    return O.group_key(F.md5(plain))
+
+
+CONTENT_KEY = ("coalesce(md5(regexp_replace(regexp_replace(lower(text),'[0-9]+','#','g'),"
+               "'[ \\n\\t\\r]+',' ','g')),'')")
 
 
 def docs_grouped(t):
-    return t.documents.select("doc_id", F.concat("lang", "source").alias("grp"))
+    return t.documents.select("doc_id", content_key(F.col("text")).alias("grp"))
+
+
+@query("group_key", f"SELECT doc_id, {CONTENT_KEY} AS grp FROM documents")
+def _(t):
+    return docs_grouped(t)
 
 
-DOC_SPLIT = """gs AS (SELECT lang||source AS grp, count(*) AS size FROM documents GROUP BY 1),
+DOC_SPLIT = f"""dg AS MATERIALIZED (SELECT doc_id, {CONTENT_KEY} AS grp FROM documents),
+gs AS (SELECT grp, count(*) AS size FROM dg GROUP BY 1),
 cum AS (SELECT grp, coalesce(sum(size) OVER (ORDER BY md5(concat_ws('|',grp,'split')), grp
  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM gs),
-sp AS (SELECT doc_id, lang||source AS grp, CASE WHEN before < floor((SELECT count(*) FROM documents)*0.2) THEN 1 ELSE 0 END::BIGINT AS split
- FROM documents JOIN cum ON grp = lang||source)"""
+sp AS (SELECT doc_id, grp, CASE WHEN before < floor((SELECT count(*) FROM documents)*0.2) THEN 1 ELSE 0 END::BIGINT AS split
+ FROM dg JOIN cum USING (grp))"""
 
 
 @query("group_disjoint_split", f"WITH {DOC_SPLIT} SELECT doc_id, grp, split FROM sp")

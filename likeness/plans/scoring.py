@@ -119,7 +119,7 @@ _W = "CASE " + " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(BS.POIS
 
 
 @query("bootstrap_rae_poisson", f"""WITH {PRED}, w AS (SELECT task, rep, y, pred, {_W} AS w FROM
- (SELECT *, {Q.u32('id', 'rep', seed='pois')}/4294967296.0::DOUBLE AS u FROM pr, range(20) r(rep) WHERE method='price')),
+ (SELECT *, {Q.u32('task', 'id', 'rep', seed='pois')}/4294967296.0::DOUBLE AS u FROM pr, range(20) r(rep) WHERE method='price')),
 mn AS (SELECT task, rep, sum(w*y)/sum(w) AS m FROM w GROUP BY 1,2),
 ra AS (SELECT task, rep, sum(w*abs(y-pred))/sum(w*abs(y-m)) AS rae FROM w JOIN mn USING (task, rep) GROUP BY 1,2)
 SELECT task, round(avg(rae),6) AS rae FROM ra GROUP BY 1""")
@@ -280,10 +280,10 @@ def _(t):
         "delta", F.round("delta", 5))
 
 
-@query("nan_mean", f"WITH {ML}, g AS (SELECT method, CASE WHEN value < 0.9 THEN NULL ELSE value END AS v FROM ml WHERE metric='pearson') SELECT method, round(avg(v),6) AS mean FROM g WHERE v IS NOT NULL GROUP BY 1")
+@query("nan_mean", f"WITH {ML}, g AS (SELECT method, CASE WHEN value < 0.0 THEN NULL ELSE value END AS v FROM ml WHERE metric='pearson') SELECT method, round(avg(v),6) AS mean FROM g WHERE v IS NOT NULL GROUP BY 1")
 def _(t):
     gaps = metrics_long(t).filter("metric = 'pearson'").withColumn(
-        "value", F.when(F.col("value") < 0.9, float("nan")).otherwise(F.col("value")))
+        "value", F.when(F.col("value") < 0.0, float("nan")).otherwise(F.col("value")))
     return B.finite_mean(gaps, ["method"], "value", "mean").select("method", *r6("mean"))
 
 

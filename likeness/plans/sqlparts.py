@@ -21,10 +21,10 @@ def random_pairs(name: str, source: str, key: str, per: int, seed: str) -> str:
  JOIN {name}_idx y ON y.idx=r WHERE l <> r)"""
 
 
-def group_pairs(name: str, source: str, group: str, key: str, seed: str, cap: int = 400) -> str:
+def group_pairs(name: str, source: str, group: str, key: str, seed: str, per_member: int = 2) -> str:
     return f"""{name}_idx AS (SELECT {group}, {key}, {position(key, seed, group)} AS idx FROM {source}),
 {name}_g AS (SELECT {group}, count(*) AS n FROM {source} GROUP BY {group} HAVING count(*) >= 2),
-{name}_d AS (SELECT {group}, n, unnest(range(least(2*n, {cap}))) AS draw FROM {name}_g),
+{name}_d AS (SELECT {group}, n, unnest(range({per_member}*n)) AS draw FROM {name}_g),
 {name}_lr AS (SELECT {group}, draw, {u32(group, 'draw', seed=seed + 'L')} % n AS l,
  {u32(group, 'draw', seed=seed + 'R')} % n AS r FROM {name}_d),
 {name} AS (SELECT d.{group}, draw, x.{key} AS a, y.{key} AS b FROM {name}_lr d
