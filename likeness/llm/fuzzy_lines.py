@@ -17,9 +17,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest, xxh3_128_intdigest
+from xxhash import xxh64_intdigest, xxh3_128_digest, xxh3_128_intdigest
 
 from likeness.llm.components import components
 from likeness.llm.stores import Workspace
@@ -28,8 +29,8 @@ from likeness.llm.stores import Workspace
 BITS, BLOCKS = 3, 5
 #: Least edit similarity: 1 - distance / length of the longer line.
 SIMILARITY = 0.8
-#: Words whose hashes a worker remembers; word hashes whose bits are counted at once.
-REMEMBERED, AT_ONCE = 400_000, 1 << 18
+#: Bytes of text whose words are counted at once; words added up in one byte for each bit.
+AT_ONCE, LANE = 4 << 20, 255
 #: Fingerprints of one bucket that are compared at once.
 ROWS = 2048
 
@@ -38,23 +39,35 @@ def normalise(line: bytes) -> bytes:
     return b" ".join(line.lower().split())
 
 
-def _simhashes(lines: list[list[bytes]], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit SimHash of each line's distinct words (each line has some)."""
-    out, start = [], 0
-    sizes = np.asarray([len(x) for x in lines])
-    while start < len(lines):
-        stop = max(start + 1, start + int(np.searchsorted(np.cumsum(sizes[start:]), AT_ONCE, side="right")))
-        words = [w for line in lines[start:stop] for w in line]
-        known.update((w, xxh64_intdigest(w)) for w in set(words) if w not in known)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        n = sizes[start:stop]
-        ones = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
-        out.append(np.packbits(2 * ones > n[:, None], axis=1).view(">u8").ravel().astype(np.int64))
+def _simhashes(words: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of the distinct words of each line; ``sizes`` words each, in order, none zero."""
+    coded = words.dictionary_encode()
+    hashes = np.asarray([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)
+    # A word's bits are 64 bytes of 0 or 1, held as 8 integers: up to 255 words add up without a carry.
+    lanes = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+    pairs = np.repeat(np.arange(len(sizes)) << 32, sizes) | coded.indices.to_numpy()
+    pairs.sort()
+    pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+    line, word = pairs >> 32, pairs & 0xFFFFFFFF
+    n = np.bincount(line, minlength=len(sizes))
+    first = np.cumsum(n) - n
+    parts = -(-n // LANE)
+    head = np.cumsum(parts) - parts
+    cuts = np.repeat(first, parts) + LANE * (np.arange(parts.sum()) - np.repeat(head, parts))
+    ones = np.add.reduceat(lanes[word], cuts, axis=0).view(np.uint8)
+    if len(cuts) > len(n):
+        ones = np.add.reduceat(ones, head, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones.astype(np.int64) > n[:, None], axis=1).view(">u8").ravel().astype(np.int64)
+
+
+def _slices(batch):
+    """Parts of a batch with about AT_ONCE bytes of text each, one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + AT_ONCE, side="right")))
+        yield batch.slice(start, stop - start)
         start = stop
-        if len(known) > REMEMBERED:
-            known.clear()
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 LINES = "row_id long, doc_id long, line_no long, k1 long, k2 long, fp long"
@@ -62,29 +75,30 @@ LINES = "row_id long, doc_id long, line_no long, k1 long, k2 long, fp long"
 
 def _lines(batches):
     """The lines of all texts without their words: keys, place and fingerprint."""
-    known: dict[bytes, int] = {}
     for batch in batches:
-        rows, words, keys = [], [], []
-        for row_id, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row_id", "doc_id", "text"))):
-            for i, line in enumerate((text or b"").split(b"\n")):
-                found = line.lower().split()
-                rows.append((row_id, doc_id, i))
-                if found:
-                    words.append(list(set(found)))
-                    key = xxh3_128_intdigest(b" ".join(found))
-                    keys.append((key >> 64, key & 2 ** 64 - 1))
-                else:
-                    keys.append(None)
-        if rows:
-            full = np.asarray([k is not None for k in keys])
-            k = np.zeros((len(rows), 2), np.uint64)
-            k[full] = np.asarray([x for x in keys if x], np.uint64).reshape(-1, 2)
-            fp = np.zeros(len(rows), np.int64)
-            fp[full] = _simhashes(words, known)
+        for part in _slices(batch):
+            text = pc.ascii_lower(pc.fill_null(part.column("text").cast(pa.string()), ""))
+            split = pc.split_pattern(text, "\n")
+            of_text = pc.list_value_length(split).to_numpy()
+            row = np.repeat(np.arange(len(of_text)), of_text)
+            words = pc.ascii_split_whitespace(split.flatten())
+            line = pc.list_parent_indices(words).to_numpy()
+            flat = words.flatten().cast(pa.binary())
+            real = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty word
+            line, flat = line[real], flat.filter(pa.array(real))
+            sizes = np.bincount(line, minlength=len(row))
+            full = sizes > 0
+            k, fp = np.zeros((len(row), 2), np.uint64), np.zeros(len(row), np.int64)
+            if full.any():
+                offsets = np.concatenate([[0], np.cumsum(sizes[full])])
+                plain = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), b" ")
+                digests = b"".join(xxh3_128_digest(x) for x in plain.to_pylist())
+                k[full] = np.frombuffer(digests, ">u8").reshape(-1, 2)
+                fp[full] = _simhashes(flat, sizes[full])
             k = k.view(np.int64)
-            row_id, doc_id, line_no = zip(*rows)
             yield pa.RecordBatch.from_arrays([
-                pa.array(row_id, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(line_no, pa.int64()),
+                part.column("row_id").take(pa.array(row)), part.column("doc_id").take(pa.array(row)),
+                pa.array(np.arange(len(row)) - np.repeat(np.cumsum(of_text) - of_text, of_text)),
                 pa.array(k[:, 0], mask=~full), pa.array(k[:, 1], mask=~full), pa.array(fp, mask=~full)],
                 ["row_id", "doc_id", "line_no", "k1", "k2", "fp"])
 
