@@ -79,17 +79,19 @@ def text_features(text: bytes | None, table: WordTable) -> np.ndarray:
     return np.asarray([f for w in words for f in table[w]], "<i4")
 
 
-def _telling(ids, owner, split: int, n: int, least: float):
+def _telling(rows: list[np.ndarray], split: int, bits: int, least: float):
     """Features whose share of documents differs between positives and unlabelled texts, with log ratios.
 
     ``least`` is the number of standard errors that the difference has to reach;
     it keeps the many words that one draw holds by chance out of the classifier.
+    Counts are made row by row, so the ids of all rows are never copied together.
     """
-    once = np.unique(ids.astype(np.int64) * n + owner)
-    feature, owner = once // n, once % n
-    used, at = np.unique(feature, return_inverse=True)
-    p = np.bincount(at[owner < split], minlength=len(used))
-    u = np.bincount(at[owner >= split], minlength=len(used))
+    n = len(rows)
+    p, u = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+    for i, ids in enumerate(rows):
+        (p if i < split else u)[np.unique(ids)] += 1
+    used = np.flatnonzero(p + u)
+    p, u = p[used], u[used]
     a, b = (p + 0.5) / (split + 1), (u + 0.5) / (n - split + 1)
     pooled = (p + u + 1) / (n + 2)
     z = (a - b) / np.sqrt(pooled * (1 - pooled) * (1 / split + 1 / (n - split)))
@@ -104,14 +106,15 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     b = float(np.log(prior / (1 - prior)))
     if not split or n == split:
         return np.zeros(0, np.int64), np.zeros(0), b
-    ids, owner = np.concatenate(rows), np.repeat(np.arange(n), [len(r) for r in rows])
-    used, ratio = _telling(ids, owner, split, n, s.least_errors)
+    used, ratio = _telling(rows, split, s.bits, s.least_errors)
     if not len(used):
         return used, ratio, b
-    place = np.full(1 << s.bits, -1)
+    place = np.full(1 << s.bits, -1, np.int32)
     place[used] = np.arange(len(used))
-    at = place[ids]
-    at, owner = at[at >= 0], owner[at >= 0]
+    # Only telling features stay, a small part of each row.
+    told = [at[at >= 0] for at in (place[ids] for ids in rows)]
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t in told])
+    at = np.concatenate(told)
     value = ratio[at]
     w = np.zeros(len(used))
     sum_w, sum_b = np.full(len(used), 1e-8), 1e-8
@@ -196,8 +199,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         "member", "toxic", "doc_id").agg(F.min("features").alias("features"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        found = [[np.frombuffer(x, "<i4") for x in pdf.features[pdf.toxic == y]] for y in (1, 0)]
+        order = pdf.doc_id.to_numpy().argsort(kind="stable")
+        toxic = pdf.toxic.to_numpy()
+        found = [[np.frombuffer(pdf.features.iat[i], "<i4") for i in order if toxic[i] == y] for y in (1, 0)]
         used, w, b = train(*found, prior, s)
         return pd.DataFrame({"feature": [-1, *used.tolist()], "weight": [b, *w.tolist()]})
 
