@@ -167,7 +167,7 @@ def near_fingerprints(distinct: DataFrame, bits: int = BITS, blocks: int = BLOCK
     keys = F.array(*(F.struct(F.lit(i).alias("which"), F.col("fp").bitwiseAND(F.lit(m - 2 ** 64 if m >> 63 else m)).alias("bucket"))
                      for i, m in enumerate(_masks(bits, blocks))))
     dealt = distinct.select("fp", F.explode(keys).alias("k")).select("k.which", "k.bucket", "fp").repartition(
-        "which", "bucket").sortWithinPartitions("which", "bucket")
+        "which", "bucket").sortWithinPartitions("bucket", "which")  # the many values first: rarely a tie
     return dealt.mapInArrow(_meetings(bits), "fa long, fb long").distinct()
 
 
