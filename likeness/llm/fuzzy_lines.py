@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest, xxh3_128_digest, xxh3_128_intdigest
+from xxhash import xxh64_intdigest, xxh3_128_digest
 
 from likeness.llm.components import components
 from likeness.llm.stores import Workspace
@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 AT_ONCE, LANE = 4 << 20, 255
 #: Fingerprints of one bucket that are compared at once.
 ROWS = 2048
+#: Bits of a key that say, before the exact join, whether its line may be wanted; bytes of one of Spark's bitmaps.
+FILTER_BITS, BITMAP = 26, 4096
 
 
 def normalise(line: bytes) -> bytes:
@@ -103,21 +105,34 @@ def _lines(batches):
                 ["row_id", "doc_id", "line_no", "k1", "k2", "fp"])
 
 
-def _texts(batches):
-    """Every non-empty normalised line under its key."""
-    for batch in batches:
-        keys, lines = [], []
-        for text in batch.column("text").to_pylist():
-            for line in set((text or b"").split(b"\n")):
-                line = normalise(line)
-                if line:
-                    key = xxh3_128_intdigest(line)
-                    keys.append((key >> 64, key & 2 ** 64 - 1))
-                    lines.append(line)
-        if lines:
-            k = np.asarray(keys, np.uint64).view(np.int64)
+def _wanted_bits(keys: DataFrame) -> np.ndarray:
+    """One bit for each value of the last FILTER_BITS bits of the keys' k1, 8 MB at any scale."""
+    bit = F.col("k1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    block = 8 * BITMAP
+    parts = keys.select(F.expr(f"CAST({(1 << FILTER_BITS) - 1} & k1 AS BIGINT) div {block}").alias("part"), (bit % block).alias("bit"))
+    found = parts.repartition("part").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    wanted = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for row in found.collect():  # of fixed size: at most 2 ** FILTER_BITS / 8 bytes in all
+        wanted[row["part"] * BITMAP:(row["part"] + 1) * BITMAP] = np.frombuffer(row["bits"], np.uint8)
+    return wanted
+
+
+def _texts(wanted):
+    """Normalised lines under their keys: all that are wanted and those that share a bit with one."""
+    def find(batches):
+        bits = wanted.value
+        mask = (1 << FILTER_BITS) - 1
+        for batch in batches:
+            every = list(set().union(*(map(normalise, set((t or b"").split(b"\n"))) for t in batch.column("text").to_pylist())) - {b""})
+            k = np.frombuffer(b"".join(map(xxh3_128_digest, every)), ">u8").reshape(-1, 2).astype(np.uint64)
+            low = (k[:, 0] & np.uint64(mask)).astype(np.int64)
+            at = np.flatnonzero(bits[low >> 3] >> (low & 7).astype(np.uint8) & 1)
+            k = k[at].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(lines, pa.binary()).cast(pa.string())], ["k1", "k2", "line"])
+                [pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array([every[i] for i in at], pa.binary()).cast(pa.string())],
+                ["k1", "k2", "line"])
+
+    return find
 
 
 def _masks(bits: int, blocks: int) -> list[int]:
@@ -198,8 +213,9 @@ def fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY, bits: int = BIT
         "a < b").select("a", "b")
     pairs = ws.write(apart.union(same), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    keys = classes.join(wanted, "cid").select("cid", "k1", "k2")
-    found = rows.select("text").mapInArrow(_texts, "k1 long, k2 long, line string").join(keys, ["k1", "k2"]).groupBy(
+    keys = ws.write(classes.join(wanted, "cid").select("cid", "k1", "k2"), "keys")
+    bits = docs.sparkSession.sparkContext.broadcast(_wanted_bits(keys))
+    found = rows.select("text").mapInArrow(_texts(bits), "k1 long, k2 long, line string").join(keys, ["k1", "k2"]).groupBy(
         "cid").agg(F.min("line").alias("line"))
     texts = ws.write(found, "texts")
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), "a").join(
