@@ -8,11 +8,13 @@ normalised text are then projected back to the original bytes.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 REMEMBERED, LONGEST = 250_000, 64
 #: Texts whose new chunks go to the library together.
 TOGETHER = 256
+#: Bytes of text in one batch of results, one text at least: spans take several times the text.
+AT_ONCE = 1 << 20
 SPACE = "▁".encode()
 
 
@@ -178,11 +182,21 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum([0 if n is None else n for n in pc.binary_length(batch.column("text")).to_pylist()])
+    start = 0
+    while start < len(ends):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + AT_ONCE, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _encoded(path: str):
     def encode(batches):
         encoder = piece_encoder(path)
         begin, end = encoder.library.bos_id(), encoder.library.eos_id()
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(map(_slices, batches)):
             ids, spans, decoded = [], [], []
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             for text, (own, where) in zip(texts, encoder.encode(texts)):
