@@ -70,7 +70,7 @@ def op5_piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def op6_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return fuzzy_lines.fuzzy_lines(_table(spark, folder, "documents")).select("doc_id", "line_no", "group_id", "kept")
+    return fuzzy_lines.fuzzy_lines(_table(spark, folder, "documents"), bits=None).select("doc_id", "line_no", "group_id", "kept")
 
 
 @_query
