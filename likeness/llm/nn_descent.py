@@ -4,7 +4,8 @@ Equal vectors are one node. Lists begin with the nearest nodes in leaves of rand
 hyperplane trees; then each node compares its neighbours and those that have it
 as a neighbour with one another, and lists keep the best, until few change. Where
 a list is full of links it is enlarged and the descent goes on. A draw of nodes
-is compared with all others to audit recall; if it is too low, trees are added.
+is compared with all others to audit recall; if it is too low, trees are added, and
+if that does not help or too few have links to tell, all nodes are compared in blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ class Settings:
     """``floor`` is the least cosine that a list keeps; below it no link is near.
 
     ``leaf``: nodes a tree's leaf should hold; ``block``: rows multiplied at once.
-    ``audited`` nodes (a bound on what is broadcast) check recall.
+    ``audited`` nodes check recall; more are drawn, up to ``most_audited`` (a bound on
+    what is broadcast), until ``linked`` of them have links. ``side``: nodes of one
+    side of a block where all are compared.
     """
 
     threshold: float = 0.98
@@ -36,6 +39,9 @@ class Settings:
     leaf: int = 512
     block: int = 1024
     audited: int = 256
+    most_audited: int = 4096
+    linked: int = 64
+    side: int = 4096
     recall: float = 0.97
     still: float = 0.001
 
@@ -206,15 +212,30 @@ def _link_counts(nodes: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
         _within(s), "cid long, links long").groupBy("cid").agg(F.sum("links").alias("links"))
 
 
-def _audit(nodes: DataFrame, counted: DataFrame, s: Settings) -> float:
-    """Share of the true links of a draw of nodes that were found; the draw is compared with all nodes."""
-    drawn = nodes.orderBy(F.xxhash64("cid")).select("cid", "label", "vec").limit(s.audited).collect()
-    if not drawn:
-        return 1.0
+def _audit(nodes: DataFrame, counted: DataFrame, s: Settings) -> float | None:
+    """Mean share of a node's true links that were found, over drawn nodes that have some.
+
+    The draw is compared with all nodes. Nodes of few links are averaged apart and the
+    lower mean counts. None if too few nodes of the largest draw, short of all, have links.
+    """
+    every, size = nodes.count(), s.audited
+    while True:
+        shares = _shares(nodes, counted, s, size)
+        if size >= every or len(shares) >= s.linked:
+            few = [x for x, true in shares if true < s.neighbours]
+            return min((float(np.mean(x)) for x in ([x for x, _ in shares], few) if x), default=1.0)
+        if size >= s.most_audited:
+            return None
+        size = min(4 * size, s.most_audited)
+
+
+def _shares(nodes: DataFrame, counted: DataFrame, s: Settings, size: int) -> list[tuple[float, int]]:
+    """(share found, true links) of those of ``size`` drawn nodes that have links."""
+    drawn = nodes.orderBy(F.xxhash64("cid")).select("cid", "label", "vec").limit(size).collect()
     want = {}
     for r in drawn:
         want.setdefault((r["label"], len(r["vec"])), []).append((r["cid"], bytes(r["vec"])))
-    shared = nodes.sparkSession.sparkContext.broadcast(  # at most ``audited`` vectors
+    shared = nodes.sparkSession.sparkContext.broadcast(  # at most ``most_audited`` vectors
         {k: (np.asarray([c for c, _ in v]), _unit([x for _, x in v])) for k, v in want.items()})
 
     def compare(batches):
@@ -225,15 +246,52 @@ def _audit(nodes: DataFrame, counted: DataFrame, s: Settings) -> float:
             for kind, rows in kinds.items():
                 if kind in shared.value:
                     ids, unit = shared.value[kind]
-                    hit = unit @ _unit([r[2] for r in rows]).T >= s.threshold
-                    hit &= ids[:, None] != np.asarray([r[0] for r in rows])[None, :]
-                    true = hit @ np.asarray([r[1] for r in rows])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true.astype(np.int64))], ["cid", "true"])
+                    for i in range(0, len(rows), s.block):
+                        part = rows[i:i + s.block]
+                        hit = unit @ _unit([r[2] for r in part]).T >= s.threshold
+                        hit &= ids[:, None] != np.asarray([r[0] for r in part])[None, :]
+                        true = hit @ np.asarray([r[1] for r in part])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(true.astype(np.int64))], ["cid", "true"])
 
     true = nodes.select("cid", "label", "n", "vec").mapInArrow(compare, "cid long, true long").groupBy("cid").agg(
-        F.sum("true").alias("true"))
-    row = true.join(counted, "cid", "left").agg(F.sum("true"), F.sum(F.coalesce("links", F.lit(0)))).first()
-    return row[1] / row[0] if row[0] else 1.0
+        F.sum("true").alias("true")).filter(F.col("true") > 0)
+    rows = true.join(counted, "cid", "left").select(F.col("true"), F.coalesce("links", F.lit(0)).alias("links")).collect()
+    return [(r["links"] / r["true"], r["true"]) for r in rows]
+
+
+def _across(s: Settings):
+    """Links of a block's nodes on side 0 with those on side 1 that are in another component."""
+    def compare(batches):
+        for _, (ids, roots, sides, vecs) in _groups(
+                batches, ["label", "length", "i", "j"], ["cid", "root", "side", "vec"], 1 << 62):
+            ids, roots, side, unit = np.asarray(ids), np.asarray(roots), np.asarray(sides), _unit(vecs)
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            for i in range(0, len(a), s.block):
+                part = a[i:i + s.block]
+                hit = (unit[part] @ unit[b].T >= s.threshold) & (roots[part][:, None] != roots[b][None, :])
+                x, y = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part[x]]), pa.array(ids[b[y]])], ["u", "v"])
+
+    return compare
+
+
+def _bridges(nodes: DataFrame, roots: DataFrame, which: DataFrame, s: Settings) -> DataFrame:
+    """(u, v): all links of the nodes ``which`` (column u) into other components, by blocks of their label."""
+    kind = ["label", "length"]
+    placed = nodes.join(roots, nodes["cid"] == roots["node"], "left").select(
+        "cid", "label", F.length("vec").alias("length"), "vec", F.coalesce("root", "cid").alias("root"))
+    asked = placed.join(which.select(F.col("u").alias("cid")).distinct(), "cid", "left_semi")
+    parts = lambda n: F.expr(f"cast(({n} + {s.side} - 1) div {s.side} AS int)")
+    sizes = placed.groupBy(*kind).agg(F.count("*").alias("q")).join(
+        asked.groupBy(*kind).agg(F.count("*").alias("p")), kind).select(*kind, parts("p").alias("p"), parts("q").alias("q"))
+
+    def deal(df, side, own, other, i, j):
+        return df.join(sizes, kind).select(
+            *kind, "cid", "root", "vec", F.lit(side).alias("side"), F.pmod(F.xxhash64("cid"), F.col(own)).cast("int").alias(i),
+            F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j))
+
+    dealt = deal(asked, 0, "p", "q", "i", "j").unionByName(deal(placed, 1, "q", "p", "j", "i"))
+    return dealt.repartition(*kind, "i", "j").sortWithinPartitions(*kind, "i", "j").mapInArrow(_across(s), "u long, v long")
 
 
 def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -268,7 +326,15 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
             previous, k = state, 2 * k  # enlarge, until that neither joins nor adds anything
             found = _descend(ws, nodes, found, s, k)
         counted = ws.write(_link_counts(nodes, roots, s), "links")
-        if _audit(nodes, counted, s) >= s.recall or first + trees >= 16 * s.trees:
+        recall = _audit(nodes, counted, s)
+        if recall is not None and recall >= s.recall:
+            break
+        if recall is None or first + trees >= 16 * s.trees:
+            # Recall is unknown or stays low: all pairs of different components are compared.
+            missed = _bridges(nodes, roots, nodes.select(F.col("cid").alias("u")), s)
+            joined = ws.write(links.select("u", "v").union(missed), "joined")
+            roots = ws.write(components(ws, joined, "u", "v"), "roots")
+            counted = ws.write(_link_counts(nodes, roots, s), "links")
             break
         first, trees, previous = first + trees, first + trees, None
     named = nodes.join(roots, nodes["cid"] == roots["node"], "left").join(counted, "cid", "left").select(

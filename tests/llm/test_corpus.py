@@ -284,6 +284,18 @@ def test_vectors_recall(spark):
     assert all(got[w[0]][1] <= w[1] for w in want)
 
 
+def test_vectors_audit_fails_closed(spark, monkeypatch):
+    """Descent finds nothing: the rare pairs are found all the same, whether the draw has links or not."""
+    gen = np.random.default_rng(8)
+    rows = [(i, gen.standard_normal(16).tolist(), 0) for i in range(400)]
+    rows += [(1000 + i, (np.asarray(rows[i][1]) * 1.001 + 1e-3).tolist(), 0) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    none = spark.createDataFrame([], "u long, v long, sim double")
+    monkeypatch.setattr(nn_descent, "_descend", lambda *a: none)
+    for settings in (nn_descent.Settings(audited=2, most_audited=8, side=100), nn_descent.Settings(trees=1, audited=500, side=100)):
+        same(nn_descent.near_vectors(df, settings).collect(), brute.vectors(rows))
+
+
 def test_fuzzy_lines(spark, case):
     rows, df = case
     rows = [(d, t) for d, t in {d: t for d, t in rows if d is not None}.items() if len(t or "") < 3000]
