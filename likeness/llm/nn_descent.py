@@ -2,8 +2,8 @@
 
 Equal vectors are one node. Lists begin with the nearest nodes in leaves of random
 hyperplane trees; then each node compares its neighbours and those that have it
-as a neighbour with one another, and lists keep the best, until few change. Where
-a list is full of links it is enlarged and the descent goes on. A draw of nodes
+as a neighbour with one another, and lists keep the best, until few change. A node
+whose list is full of links is compared with all nodes outside its component. A draw of nodes
 is compared with all others to audit recall; if it is too low, trees are added, and
 if that does not help or too few have links to tell, all nodes are compared in blocks.
 """
@@ -24,7 +24,7 @@ from likeness.llm.stores import Workspace
 
 @dataclass(frozen=True)
 class Settings:
-    """``floor`` is the least cosine that a list keeps; below it no link is near.
+    """``neighbours``: entries of a list, the nearest whatever their cosine is.
 
     ``leaf``: nodes a tree's leaf should hold; ``block``: rows multiplied at once.
     ``audited`` nodes check recall; more are drawn, up to ``most_audited`` (a bound on
@@ -33,7 +33,6 @@ class Settings:
     """
 
     threshold: float = 0.98
-    floor: float = 0.8
     neighbours: int = 16
     trees: int = 6
     leaf: int = 512
@@ -86,12 +85,11 @@ def _groups(batches, keys: list[str], columns: list[str], most: int):
 EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
 
 
-def _best(ids: np.ndarray, unit: np.ndarray, k: int, floor: float, block: int):
-    """Of each row its ``k`` best others with at least ``floor``, one block of rows at a time."""
+def _best(ids: np.ndarray, unit: np.ndarray, k: int, block: int):
+    """Of each row its ``k`` best others, one block of rows at a time."""
     for i in range(0, len(ids), block):
         sims = unit[i:i + block] @ unit.T
         sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = -2
-        sims[sims < floor] = -2
         n = min(k, sims.shape[1])
         top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
         value = np.take_along_axis(sims, top, 1)
@@ -105,7 +103,7 @@ def _leaves(s: Settings, k: int):
     def compare(batches):
         for _, (ids, vecs) in _groups(batches, ["tree", "leaf"], ["cid", "vec"], 4 * s.leaf):
             if len(ids) > 1:
-                yield from _best(np.asarray(ids), _unit(vecs), k, s.floor, s.block)
+                yield from _best(np.asarray(ids), _unit(vecs), k, s.block)
 
     return compare
 
@@ -114,7 +112,7 @@ def _local(s: Settings, k: int):
     def compare(batches):
         for _, (ids, vecs) in _groups(batches, ["w"], ["cid", "vec"], 8 * k):
             if len(ids) > 1:
-                yield from _best(np.asarray(ids), _unit(vecs), k, s.floor, s.block)
+                yield from _best(np.asarray(ids), _unit(vecs), k, s.block)
 
     return compare
 
@@ -139,24 +137,24 @@ def _codes(s: Settings, first: int, trees: int):
                 for tree in range(first, first + trees):
                     if (tree, len(v)) not in planes:
                         planes[tree, len(v)] = np.random.default_rng([tree, len(v)]).standard_normal((len(v), 48))
-                    sign = (v @ planes[tree, len(v)][:, :depth] > 0).astype(int)
-                    leaf = f"{label}/{len(v)}/" + "".join(map(str, sign))
-                    out.append((tree, leaf, cid, raw))
+                    sign = (v @ planes[tree, len(v)] > 0).astype(int)
+                    code = "".join(map(str, sign))
+                    out.append((tree, f"{label}/{len(v)}/{code[:depth]}", code[depth:], cid, raw))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.int64(), pa.binary()))],
-                    ["tree", "leaf", "cid", "vec"])
+                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.binary()))],
+                    ["tree", "leaf", "rest", "cid", "vec"])
 
     return code
 
 
 def _grow(ws: Workspace, nodes: DataFrame, s: Settings, first: int, trees: int, k: int) -> DataFrame:
-    """Edges within the leaves of some trees. Leaves too large are compared in hashed parts."""
+    """Edges within the leaves of some trees. Leaves too large are cut in the order of further planes."""
     sizes = nodes.groupBy("label").agg(F.count("*").alias("members"))
     depth = F.least(F.greatest(F.ceil(F.log2(F.col("members") / s.leaf)), F.lit(0)), F.lit(48)).cast("int")
     coded = nodes.join(sizes, "label").select("cid", "label", "vec", depth.alias("bits")).mapInArrow(
-        _codes(s, first, trees), "tree int, leaf string, cid long, vec binary")
-    dealt = coded.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", F.xxhash64("cid", "tree"))
+        _codes(s, first, trees), "tree int, leaf string, rest string, cid long, vec binary")
+    dealt = coded.repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "rest", F.xxhash64("cid", "tree"))
     return dealt.mapInArrow(_leaves(s, k), "u long, v long, sim double")
 
 
@@ -310,21 +308,17 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     good = rows.filter("vec IS NOT NULL AND label IS NOT NULL")
     nodes = ws.write(good.groupBy("label", "vec").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn(
         "cid", F.monotonically_increasing_id()), "nodes")
-    k, trees, found, previous = s.neighbours, s.trees, None, None
-    first = 0
+    k, trees, found, first = s.neighbours, s.trees, None, 0
     while True:
         grown = _grow(ws, nodes, s, first, trees, k)
         found = _descend(ws, nodes, grown if found is None else found.union(grown), s, k)
-        while True:
-            links = found.filter(F.col("sim") >= s.threshold)
-            roots = ws.write(components(ws, links.select("u", "v"), "u", "v"), "roots")
-            full = found.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("least")).filter(
-                (F.col("n") >= k) & (F.col("least") >= s.threshold)).count()
-            state = (roots.count(), roots.select("root").distinct().count())
-            if not full or state == previous:
-                break
-            previous, k = state, 2 * k  # enlarge, until that neither joins nor adds anything
-            found = _descend(ws, nodes, found, s, k)
+        links = found.filter(F.col("sim") >= s.threshold).select("u", "v")
+        roots = ws.write(components(ws, links, "u", "v"), "roots")
+        full = found.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("least")).filter(
+            (F.col("n") >= k) & (F.col("least") >= s.threshold)).select("u")
+        bridges = ws.write(_bridges(nodes, roots, full, s), "bridges")  # the list has no room for them
+        links = links.union(bridges)
+        roots = ws.write(components(ws, links, "u", "v"), "roots")
         counted = ws.write(_link_counts(nodes, roots, s), "links")
         recall = _audit(nodes, counted, s)
         if recall is not None and recall >= s.recall:
@@ -332,11 +326,11 @@ def near_vectors(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
         if recall is None or first + trees >= 16 * s.trees:
             # Recall is unknown or stays low: all pairs of different components are compared.
             missed = _bridges(nodes, roots, nodes.select(F.col("cid").alias("u")), s)
-            joined = ws.write(links.select("u", "v").union(missed), "joined")
+            joined = ws.write(links.union(missed), "joined")
             roots = ws.write(components(ws, joined, "u", "v"), "roots")
             counted = ws.write(_link_counts(nodes, roots, s), "links")
             break
-        first, trees, previous = first + trees, first + trees, None
+        first, trees = first + trees, first + trees
     named = nodes.join(roots, nodes["cid"] == roots["node"], "left").join(counted, "cid", "left").select(
         "label", "vec", F.coalesce("root", "cid").alias("root"), "least",
         (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))

@@ -284,6 +284,21 @@ def test_vectors_recall(spark):
     assert all(got[w[0]][1] <= w[1] for w in want)
 
 
+def test_vectors_bridge_of_full_lists(spark):
+    """One link between two dense groups, which ranks behind those within each group."""
+    gen = np.random.default_rng(3)
+    e = np.eye(12)
+    a = np.radians([0, 16])  # the centres are too far apart to link, the nodes between them are not
+    ends = [np.cos(x) * e[0] + np.sin(x) * e[1] for x in a]
+    rows = [(100 * g + i, (c + gen.standard_normal(12) * 1e-4).tolist(), 0) for g, c in enumerate(ends) for i in range(40)]
+    step = [np.cos(x) * e[0] + np.sin(x) * e[1] for x in np.radians([3, 13])]
+    rows += [(500 + i, v.tolist(), 0) for i, v in enumerate(step)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = brute.vectors(rows)
+    assert {w[2] for w in want} == {0}
+    same(nn_descent.near_vectors(df, nn_descent.Settings(neighbours=4, trees=1, leaf=16, block=16, audited=1, linked=1, recall=0)).collect(), want)
+
+
 def test_vectors_audit_fails_closed(spark, monkeypatch):
     """Descent finds nothing: the rare pairs are found all the same, whether the draw has links or not."""
     gen = np.random.default_rng(8)
