@@ -43,7 +43,7 @@ FILTER_BITS, BITMAP = 26, 4096
 #: Lines of up to TINY characters meet by deletions. Others by (least length, greatest, gram, values of a band, bands);
 #: two lines of at least 0.8 have the lengths of one of the kinds in common.
 TINY = 14
-KINDS = ((12, 29, 3, 3, 40), (24, 59, 4, 3, 32), (48, 1 << 62, 6, 4, 24))
+KINDS = ((12, 29, 3, 3, 40), (24, 74, 4, 3, 32), (48, 1 << 62, 6, 3, 24))
 #: Low bits of a meeting key, which hold the length; bytes of lines sketched at once; pairs given at once.
 LENGTH_BITS, SKETCHED, GIVEN = 16, 1 << 20, 1 << 18
 
