@@ -18,8 +18,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,28 +81,41 @@ def counts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _kept(table: DataFrame, order: int, most: DataFrame | None, grams: int) -> tuple[DataFrame, DataFrame]:
-    """Grams of one order whose context was seen often enough, and the least count by language.
+def _cutoffs(contexts: DataFrame, grams: int) -> list[tuple[str, int, int]]:
+    """(lang, depth, power): contexts are kept that were seen 2 ** (power - 1) times or more.
 
-    The least count is the smallest power of two that keeps at most ``grams``
-    rows of a language, but not below that of the shorter contexts: the shorter
-    ones of a kept context are kept.
+    The power is the smallest with at most ``grams`` rows of the language and
+    depth, but not below that of the shorter contexts: the shorter ones of a kept
+    context are kept. Read from at most 64 sums for each language and depth.
     """
-    mask = (1 << 8 * (order + 1)) - 1
-    own = table.groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n"))
-    contexts = own.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(
-        F.sum("n").alias("total"), F.count("*").alias("followers"))
-    seen = contexts.groupBy("lang", F.length(F.bin("total")).alias("power")).agg(F.sum("followers").alias("grams"))
-    # At most 64 rows for each language.
-    least = seen.alias("a").join(seen.alias("b"), (F.col("a.lang") == F.col("b.lang")) & (F.col("b.power") >= F.col("a.power"))).groupBy(
-        F.col("a.lang").alias("lang"), F.col("a.power").alias("power")).agg(F.sum("b.grams").alias("above"))
-    least = least.groupBy("lang").agg(F.coalesce(F.max(F.when(F.col("above") > grams, F.col("power") + 1)), F.lit(0)).alias("power"))
-    if most is not None:
-        least = least.join(most.withColumnRenamed("power", "shorter"), "lang").select(
-            "lang", F.greatest("power", "shorter").alias("power"))
-    frequent = contexts.join(least, "lang").filter(F.length(F.bin("total")) >= F.col("power")).select("lang", "context")
-    kept = own.withColumn("context", F.shiftright("gram", 8)).join(frequent, ["lang", "context"], "left_semi")
-    return kept.select("lang", F.lit(order).alias("depth"), "gram", "n"), least
+    sums = contexts.groupBy("lang", "depth", "power").agg(F.sum("followers").alias("grams")).collect()
+    out = []
+    for lang in {r["lang"] for r in sums}:
+        power = 0
+        for depth in range(ORDER + 1):
+            above = 0
+            for r in sorted((r for r in sums if (r["lang"], r["depth"]) == (lang, depth)), key=lambda r: -r["power"]):
+                above += r["grams"]
+                if above > grams:
+                    power = max(power, r["power"] + 1)
+                    break
+            out.append((lang, depth, power))
+    return out
+
+
+def kept_grams(ws: Workspace, table: DataFrame, grams: int) -> pa.Table:
+    """(lang, depth, gram, n) of all contexts that were seen often enough; ``table`` is (lang, gram, n)."""
+    shorter = F.array(*[F.struct(F.lit(d).alias("depth"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("gram"))
+                        for d in range(ORDER + 1)])
+    own = ws.write(table.select("lang", F.explode(shorter).alias("g"), "n").groupBy("lang", "g.depth", "g.gram").agg(
+        F.sum("n").alias("n")).withColumn("context", F.shiftright("gram", 8)), "grams")
+    contexts = ws.write(own.groupBy("lang", "depth", "context").agg(
+        F.length(F.bin(F.sum("n"))).alias("power"), F.count("*").alias("followers")), "contexts")
+    least = ws.spark.createDataFrame(_cutoffs(contexts, grams), "lang string, depth int, least int")
+    frequent = contexts.join(least, ["lang", "depth"]).filter("power >= least").select("lang", "depth", "context")
+    found = own.join(frequent, ["lang", "depth", "context"], "left_semi").select("lang", "depth", "gram", "n").toArrow()
+    ws.drop(own, contexts)
+    return found
 
 
 class Tree:
@@ -231,17 +244,16 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     table = ws.write(counts(rows), "counts")
     languages = [r["lang"] for r in rows.select(F.col("lang").cast("string").alias("lang")).distinct().collect()]
     languages.sort(key=lambda lang: lang.encode())
-    share = settings.grams // max(1, len(languages))
-    parts, least = [], None
-    for order in range(ORDER + 1):
-        kept, least = _kept(table, order, least, share)
-        parts.append(kept)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    found = found.toPandas() if languages else pd.DataFrame(columns=["lang", "depth", "gram", "n"])
+    found = kept_grams(ws, table, settings.grams // max(1, len(languages)))
     ws.drop(table)
-    by = {key: (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.int64)) for key, own in found.groupby(["lang", "depth"])}
+    lang = pc.dictionary_encode(found.column("lang").combine_chunks())
+    names, which = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+    depth, gram, n = (found.column(c).to_numpy() for c in ("depth", "gram", "n"))
+    by = {}
+    for i, name in enumerate(names):
+        for order in range(ORDER + 1):
+            own = (which == i) & (depth == order)
+            by[name, order] = gram[own].astype(np.int64), n[own].astype(np.int64)
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     return Model(languages, [Tree([by.get((lang, order), none) for order in range(ORDER + 1)]) for lang in languages])
 
