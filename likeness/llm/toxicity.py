@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ WORD = re.compile(rb"[a-z\x80-\xff']+")
 #: Letters (bytes) in the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Distinct words whose weights a worker remembers while it scores.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
@@ -182,14 +183,14 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out("doc_id", s.folds)).groupBy(
         F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
-    prior = min(max(share or 0.0, 1e-4), 0.5)
+    prior = min(max(share or 0.0, 1e-4), 1 - 1e-4)  # as the labels have it; a risk needs both classes
     free = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter(
-        "doc_id IS NOT NULL").filter(~held_out("doc_id", s.folds))
+        "doc_id IS NOT NULL").filter(~held_out("doc_id", s.folds)).distinct()
     present = known.filter("toxic = 1").select("doc_id").join(free, "doc_id", "left_semi")
     drawn = None
     for member in range(s.members):
         for toxic, ids, n in ((1, present, s.positives), (0, free, s.unlabelled)):
-            part = _draw(ids.distinct() if toxic else ids, member, n).select(
+            part = _draw(ids, member, n).select(
                 F.lit(member).alias("member"), F.lit(toxic).alias("toxic"), "doc_id")
             drawn = part if drawn is None else drawn.union(part)
     # At most members * (positives + unlabelled) rows of two numbers, by the settings.
@@ -211,16 +212,27 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     return Model(s.bits, weights, weights.pop(-1, float(np.log(prior / (1 - prior)))))
 
 
+_TABLES: dict[str, WordTable] = {}
+
+
+def _weights(model_id: str, model: Model) -> WordTable:
+    """The worker's one table of word weights, that of the model it scores with now."""
+    if model_id not in _TABLES:
+        _TABLES.clear()
+        weight = model.weights.get
+        _TABLES[model_id] = WordTable(lambda w: math.fsum(weight(f, 0.0) for f in features(w, model.bits)))
+    return _TABLES[model_id]
+
+
 def scorer(spark, model: Model):
     """A column function: the probability that a text (as bytes) is toxic."""
     shared = spark.sparkContext.broadcast(model)  # bounded by 2 ** bits weights
+    model_id = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         model = shared.value
-        weight = model.weights.get
-        table = WordTable(lambda w: math.fsum(weight(f, 0.0) for f in features(w, model.bits)))
-        look = table.__getitem__
+        look = _weights(model_id, model).__getitem__
 
         def one(text):
             words = set(WORD.findall(text.lower())) if text else ()
