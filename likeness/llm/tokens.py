@@ -20,7 +20,7 @@ import public_tokenizers
 #: The file of the word tokenizer; any other place can be given.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Words in one of the two generations that a worker remembers, and the longest one.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text whose new words go to the library together.
 TOGETHER = 2 << 20
 STOPS = b".,;:!?"
@@ -53,7 +53,7 @@ class WordEncoder:
 
     def _group(self, texts: list[bytes]) -> Iterator[bytes]:
         # Lower case is the tokenizer's own first step; special strings and composed letters would differ.
-        split = [(t.lower() if t.isascii() and b"<|" not in t else t).split() for t in texts]
+        split = [t.split() for t in _parted([t.lower() if t.isascii() and b"<|" not in t else t for t in texts])]
         words = set().union(*split)
         self._learn(words)
         look = self._known.__getitem__
@@ -67,37 +67,59 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> None:
         known, older = self._known, self._older
-        new, parts, wanted = [w for w in words if w not in known], {}, set()
-        for word in new:
-            if word in older:
-                known[word] = older[word]
-                continue
+        new = words.difference(known)
+        again = [w for w in new if w in older]
+        known.update(zip(again, map(older.__getitem__, again)))
+        new.difference_update(again)
+        parts, wanted = {}, set()
+        for word in [w for w in new if w[-1] in STOPS]:
             stem = word.rstrip(STOPS)
-            if stem and len(stem) < len(word) and stem[-1:].isalpha():
+            if stem and stem[-1:].isalpha():
                 parts[word] = stem, word[len(stem):]
                 wanted.update(parts[word])
-            else:
-                wanted.add(word)
-        missing = [w for w in wanted if w not in known]
-        fresh = self._letters(missing)
-        rest = [w for w in missing if w not in fresh]
+        new.difference_update(parts)
+        new.update(wanted.difference(known))
+        fresh = self._letters(new)
+        rest = [w for w in new if w not in fresh] if len(fresh) < len(new) else []
         for word, found in zip(rest, self._library.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             fresh[word] = np.asarray(found.ids, "<u4").tobytes()
+        known.update(fresh)  # the caller forgets long ones
         for word, (stem, stop) in parts.items():
-            known[word] = b"".join(fresh[p] if p in fresh else known[p] for p in (stem, stop))
-        known.update((w, v) for w, v in fresh.items() if len(w) <= LONGEST or w in words)
+            known[word] = known[stem] + known[stop]
+        for stem, _ in parts.values():
+            if len(stem) > LONGEST and stem not in words:
+                known.pop(stem, None)
 
     def _letters(self, missing: list[bytes]) -> dict[bytes, bytes]:
         """The words of letters only, encoded in one text: each ends with the first id that ends a word."""
         words = [w for w in missing if w.isalpha() or _composed(w.decode())]  # of bytes: ASCII letters
         ids = np.asarray(self._library.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        ends = 4 * (np.flatnonzero(self._last[ids]) + 1) if len(ids) else []
+        ends = (4 * (np.flatnonzero(self._last[ids]) + 1)).tolist() if len(ids) else []
         if len(ends) != len(words):  # a tokenizer without marked word ends
             return {}
         data, starts = ids.tobytes(), [0, *ends[:-1]]
         return {w: data[a:b] for w, a, b in zip(words, starts, ends)}
 
 
+_BEFORE, _STOP, _AFTER = (np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(own, np.uint8)) for own in (
+    bytes(range(ord("a"), ord("z") + 1)), STOPS, b" \n"))
+
+
+def _parted(texts: list[bytes]) -> list[bytes]:
+    """The texts with a blank between a small ASCII letter and a single stop before white space.
+
+    The word and the stop are separate matches of the tokenizer either way; so a
+    word is remembered once and not once for each stop behind it.
+    """
+    whole = b"\n".join([*texts, b""])
+    data = np.frombuffer(whole, np.uint8)
+    at = np.flatnonzero(_STOP[data[1:-1]] & _BEFORE[data[:-2]] & _AFTER[data[2:]]) + 1
+    ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+    ends += np.searchsorted(at, ends)
+    out = np.insert(data, at, 32).tobytes()
+    return [out[a:b] for a, b in zip([0, *(ends[:-1] + 1)], ends)]
+
+
 def _composed(word: str) -> bool:
     """Letters only, in the normal form that the tokenizer makes: one match of its regular expression."""
     return word.isalpha() and unicodedata.is_normalized("NFC", word)
