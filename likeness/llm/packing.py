@@ -19,11 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from likeness.llm.batches import by_bytes
 from likeness.llm.stores import Workspace
 from likeness.llm.tokens import WORD_BPE, word_encoder
 
 #: Tokens in a sequence and the id after each document.
 SEQUENCE, END_ID = 2048, 1
+#: Bytes of text whose pieces leave a task together.
+AT_ONCE = 4 << 20
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -73,7 +76,7 @@ def _pieces(path: str, end_id: int, capacity: int):
         encode, part = word_encoder(path).packed, TaskContext.get().partitionId()
         end, seen = np.asarray([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         names = [c.split()[0] for c in PIECES.split(", ")]
-        for batch in batches:
+        for batch in by_bytes(batches, "text", AT_ONCE):
             rows = []
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 data = packed + end

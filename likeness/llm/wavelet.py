@@ -21,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from likeness.llm.batches import by_bytes
 from likeness.llm.tokens import WORD_BPE, word_encoder
 from likeness.session import scratch_path
 
 #: Id appended to each document.
 END_ID = 1
+#: Bytes of text that are encoded at once.
+AT_ONCE = 4 << 20
 #: Tokens after which a task closes a shard (at the end of a document).
 SHARD_TOKENS = 1 << 20
 #: Bits between two stored counts of ones.
@@ -176,7 +179,7 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                 "present": np.asarray([k is not None for k in keys]).tobytes(),
                 "matrix": zstandard.ZstdCompressor(level=1).compress(matrix.to_bytes())}])
 
-        for batch in batches:
+        for batch in by_bytes(batches, "text", AT_ONCE):
             for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                 keys.append(doc_id)
                 ids.append(packed + end)
