@@ -4,21 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from likeness.llm import block_naming, packing, simhash_trie, toxicity
 from likeness.llm.stores import Workspace
-
-
-def _only(docs: DataFrame, key, stay: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``stay`` (doc_id, key) names, one for each name, with the columns they came with."""
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
-                       key.alias("key"))
-    named = stay.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "key")
-    # The join leaves the rows partitioned and sorted by what the window needs.
-    once = Window.partitionBy("id", "key").orderBy(F.lit(0))
-    return rows.join(named, ["id", "key"], "left_semi").withColumn("n", F.row_number().over(once)).filter(
-        "n = 1").select("row.*")
+from likeness.llm.survivors import only
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,14 +20,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id; of rows equal in both, one."""
     stay = block_naming.exact_groups(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("key"))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return _only(docs, F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256), stay)
+    return only(docs, F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256), stay)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near fingerprints the row with the smallest doc_id."""
     groups = simhash_trie.near_groups(docs)
     first = groups.filter("doc_id <=> component_id").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    return _only(docs, F.xxhash64("text"), first.select("first.doc_id", F.col("first.text_key").alias("key")))
+    return only(docs, F.xxhash64("text"), first.select("first.doc_id", F.col("first.text_key").alias("key")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
