@@ -9,10 +9,10 @@ blocks are equal; so each fingerprint is put under its ten pairs of blocks
 fingerprints that meet are compared. Only lines of near fingerprints are compared
 as texts.
 
-Few lines of edit similarity 0.8 have near fingerprints, as one changed word moves
-many bits. Without a bit budget (``bits=None``, what the query uses) lines meet by
-their characters: lines of up to 14 by what is left when up to two are deleted,
-which finds every pair; longer ones by MinHash bands over their character grams.
+The rule of a link is both: fingerprints within the budget of bits, and edit
+similarity. Pairs of the one and the other are all found; of all pairs of an edit
+similarity of 0.8 those with near fingerprints are few (the README has a table),
+since one changed word of ten moves about nine bits.
 """
 
 from __future__ import annotations
@@ -40,12 +40,6 @@ AT_ONCE, LANE = 4 << 20, 255
 ROWS = 2048
 #: Bits of a key that say, before the exact join, whether its line may be wanted; bytes of one of Spark's bitmaps.
 FILTER_BITS, BITMAP = 26, 4096
-#: Lines of up to TINY characters meet by deletions. Others by (least length, greatest, gram, values of a band, bands);
-#: two lines of at least 0.8 have the lengths of one of the kinds in common.
-TINY = 14
-KINDS = ((12, 29, 3, 3, 40), (24, 74, 4, 3, 32), (48, 1 << 62, 6, 3, 24))
-#: Low bits of a meeting key, which hold the length; bytes of lines sketched at once; pairs given at once.
-LENGTH_BITS, SKETCHED, GIVEN = 16, 1 << 20, 1 << 18
 
 
 def normalise(line: bytes) -> bytes:
@@ -86,38 +80,34 @@ def _slices(batch):
 LINES = "row_id long, doc_id long, line_no long, k1 long, k2 long, fp long"
 
 
-def _lines(fingerprints: bool):
-    """The lines of all texts without their words: keys, place and, if asked for, fingerprint."""
-    def find(batches):
-        for batch in batches:
-            for part in _slices(batch):
-                text = pc.ascii_lower(pc.fill_null(part.column("text").cast(pa.string()), ""))
-                split = pc.split_pattern(text, "\n")
-                of_text = pc.list_value_length(split).to_numpy()
-                row = np.repeat(np.arange(len(of_text)), of_text)
-                words = pc.ascii_split_whitespace(split.flatten())
-                line = pc.list_parent_indices(words).to_numpy()
-                flat = words.flatten().cast(pa.binary())
-                real = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty word
-                line, flat = line[real], flat.filter(pa.array(real))
-                sizes = np.bincount(line, minlength=len(row))
-                full = sizes > 0
-                k, fp = np.zeros((len(row), 2), np.uint64), np.zeros(len(row), np.int64)
-                if full.any():
-                    offsets = np.concatenate([[0], np.cumsum(sizes[full])])
-                    plain = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), b" ")
-                    digests = b"".join(xxh3_128_digest(x) for x in plain.to_pylist())
-                    k[full] = np.frombuffer(digests, ">u8").reshape(-1, 2)
-                    if fingerprints:
-                        fp[full] = _simhashes(flat, sizes[full])
-                k = k.view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    part.column("row_id").take(pa.array(row)), part.column("doc_id").take(pa.array(row)),
-                    pa.array(np.arange(len(row)) - np.repeat(np.cumsum(of_text) - of_text, of_text)),
-                    pa.array(k[:, 0], mask=~full), pa.array(k[:, 1], mask=~full), pa.array(fp, mask=~full)],
-                    ["row_id", "doc_id", "line_no", "k1", "k2", "fp"])
-
-    return find
+def _lines(batches):
+    """The lines of all texts without their words: keys, place and fingerprint."""
+    for batch in batches:
+        for part in _slices(batch):
+            text = pc.ascii_lower(pc.fill_null(part.column("text").cast(pa.string()), ""))
+            split = pc.split_pattern(text, "\n")
+            of_text = pc.list_value_length(split).to_numpy()
+            row = np.repeat(np.arange(len(of_text)), of_text)
+            words = pc.ascii_split_whitespace(split.flatten())
+            line = pc.list_parent_indices(words).to_numpy()
+            flat = words.flatten().cast(pa.binary())
+            real = pc.binary_length(flat).to_numpy() > 0  # white space at an end leaves an empty word
+            line, flat = line[real], flat.filter(pa.array(real))
+            sizes = np.bincount(line, minlength=len(row))
+            full = sizes > 0
+            k, fp = np.zeros((len(row), 2), np.uint64), np.zeros(len(row), np.int64)
+            if full.any():
+                offsets = np.concatenate([[0], np.cumsum(sizes[full])])
+                plain = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), b" ")
+                digests = b"".join(xxh3_128_digest(x) for x in plain.to_pylist())
+                k[full] = np.frombuffer(digests, ">u8").reshape(-1, 2)
+                fp[full] = _simhashes(flat, sizes[full])
+            k = k.view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                part.column("row_id").take(pa.array(row)), part.column("doc_id").take(pa.array(row)),
+                pa.array(np.arange(len(row)) - np.repeat(np.cumsum(of_text) - of_text, of_text)),
+                pa.array(k[:, 0], mask=~full), pa.array(k[:, 1], mask=~full), pa.array(fp, mask=~full)],
+                ["row_id", "doc_id", "line_no", "k1", "k2", "fp"])
 
 
 def _wanted_bits(keys: DataFrame) -> np.ndarray:
@@ -150,119 +140,6 @@ def _texts(wanted):
     return find
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-def _bands(chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray, gram: int, values: int, bands: int) -> np.ndarray:
-    """One hash for each line and band; ``chars`` are mixed characters, ``sizes`` at least ``gram``."""
-    n, width, none = sizes - gram + 1, values * bands, np.uint64(2 ** 64 - 1)
-    line = np.repeat(np.arange(len(n)), n)
-    at = np.arange(n.sum()) + np.repeat(starts - (np.cumsum(n) - n), n)
-    h = np.zeros(len(at), np.uint64)
-    for i in range(gram):
-        h = h * np.uint64(0x100000001B3) + chars[at + i]
-    h = _mixed(h)
-    least = np.full(len(n) * width, none)
-    np.minimum.at(least, line * width + (h % np.uint64(width)).astype(np.int64), _mixed(h))
-    least = least.reshape(-1, width)
-    # A place that no gram fell on takes the next one's value, marked by the distance.
-    here = np.where(least != none, np.arange(width), 4 * width)
-    ahead = np.minimum.accumulate(np.concatenate([here, here + width], 1)[:, ::-1], axis=1)[:, ::-1][:, :width]
-    full = np.take_along_axis(least, ahead % width, 1) + (ahead - np.arange(width)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    key = np.tile(np.arange(bands, dtype=np.uint64) + np.uint64(gram << 32), (len(n), 1))
-    for i in range(values):
-        key = _mixed(key + full[:, i * bands:(i + 1) * bands])
-    return key
-
-
-def _deletions(line: str) -> set[str]:
-    """What is left of a short line without as many characters as it may differ in from lines of up to TINY."""
-    most = min(TINY, len(line) * 5 // 4) // 5
-    return {"".join(line[i] for i in kept) for n in range(most + 1) for kept in combinations(range(len(line)), len(line) - n)} if most else set()
-
-
-def _meeting_keys(lines: list[str]) -> pa.Array:
-    """Of each line the keys under which it meets others: a hash and, in the low bits, its length."""
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    starts = np.cumsum(sizes) - sizes
-    chars = _mixed(np.frombuffer("".join(lines).encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(7))
-    of, keys = [], []
-    for least, most, gram, values, bands in KINDS:
-        which = np.flatnonzero((sizes >= least) & (sizes <= most))
-        if len(which):
-            of.append(np.repeat(which, bands))
-            keys.append(_bands(chars, starts[which], sizes[which], gram, values, bands).ravel())
-    for i in np.flatnonzero(sizes <= TINY):
-        left = [xxh64_intdigest(x.encode()) for x in _deletions(lines[i])]
-        of.append(np.full(len(left), i))
-        keys.append(np.asarray(left, np.uint64))
-    of, keys = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((of, np.int64), (keys, np.uint64)))
-    order = np.argsort(of, kind="stable")
-    length = np.minimum(sizes, (1 << LENGTH_BITS) - 1)[of]
-    packed = (keys >> np.uint64(LENGTH_BITS + 1) << np.uint64(LENGTH_BITS)).view(np.int64) | length
-    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(lines)))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(packed[order]))
-
-
-def _sketches(batches):
-    """The different lines of each batch with their meeting keys."""
-    for batch in batches:
-        for part in _slices(batch):
-            every = list(set().union(*(map(normalise, set((t or b"").split(b"\n"))) for t in part.column("text").to_pylist())) - {b""})
-            ends = np.cumsum([len(x) for x in every])
-            start = 0
-            while start < len(every):
-                stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SKETCHED, side="right")))
-                some = every[start:stop]
-                k = np.frombuffer(b"".join(map(xxh3_128_digest, some)), ">u8").reshape(-1, 2).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k[:, 0]), pa.array(k[:, 1]), _meeting_keys([x.decode(errors="replace") for x in some])], ["k1", "k2", "meets"])
-                start = stop
-
-
-def _met(similarity: float):
-    """Pairs of each bucket of a partition sorted by key whose lengths allow the similarity."""
-    def pairs(key, cid):
-        length = key & ((1 << LENGTH_BITS) - 1)
-        longest = np.minimum((length / similarity + 1).astype(np.int64), (1 << LENGTH_BITS) - 1)
-        n = np.searchsorted(key, key - length + longest, side="right") - np.arange(len(key)) - 1
-        total, start = np.cumsum(n), 0
-        while start < len(n):
-            stop = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + GIVEN, side="right")))
-            some = n[start:stop]
-            a = np.repeat(np.arange(start, stop), some)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
-            if len(a):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(cid[a], cid[b])), pa.array(np.maximum(cid[a], cid[b]))], ["a", "b"])
-            start = stop
-
-    def meet(batches):
-        key, cid = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in batches:
-            key = np.concatenate([key, batch.column("meet").to_numpy()])
-            cid = np.concatenate([cid, batch.column("cid").to_numpy()])
-            if len(key):  # the last bucket may go on
-                cut = int(np.searchsorted(key, key[-1] >> LENGTH_BITS << LENGTH_BITS))
-                yield from pairs(key[:cut], cid[:cut])
-                key, cid = key[cut:], cid[cut:]
-        yield from pairs(key, cid)
-
-    return meet
-
-
-def near_classes(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: classes whose lines meet under a key and may be similar by their lengths."""
-    sketches = rows.select("text").mapInArrow(_sketches, "k1 long, k2 long, meets array<long>").groupBy("k1", "k2").agg(
-        F.min("meets").alias("meets"))
-    dealt = sketches.join(classes.select("cid", "k1", "k2"), ["k1", "k2"]).select("cid", F.explode("meets").alias("meet")).repartition(
-        F.shiftright("meet", LENGTH_BITS)).sortWithinPartitions("meet")
-    return dealt.mapInArrow(_met(similarity), "a long, b long").filter("a < b").distinct()
-
-
 def _masks(bits: int, blocks: int) -> list[int]:
     edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
     parts = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:])]
@@ -327,26 +204,28 @@ def _of_near_fingerprints(ws: Workspace, classes: DataFrame, bits: int, blocks:
     return apart.union(same)
 
 
-def fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY, bits: int | None = BITS, blocks: int = BLOCKS) -> DataFrame:
+def fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY, bits: int = BITS, blocks: int = BLOCKS) -> DataFrame:
     """row_id, doc_id, line_no, group_id and kept of every line of every text.
 
     Lines end at a newline; null text is one empty line. Lines of one group are
     connected by edit similarities of at least ``similarity`` between lines whose
-    fingerprints differ in at most ``bits`` bits, or if that is None, between lines
-    that meet by their characters (``similarity`` must then be 0.8 or more for no tiny
-    line to be missed); the first of them by (doc_id, row_id, line_no) is kept. Lines without words separate paragraphs: they have
+    fingerprints differ in at most ``bits`` bits; the first of them by (doc_id,
+    row_id, line_no) is kept. Lines without words separate paragraphs: they have
     no group and all stay. Equal lines are one class by a 128-bit key, so a line
-    that fills a third of the corpus is one row before anything is joined.
+    that fills a third of the corpus is one row before anything is joined. No row
+    gives no lines; other columns are not looked at.
     """
     ws = Workspace(docs.sparkSession, "lines")
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("binary").alias("text"))
-    lines = ws.write(rows.mapInArrow(_lines(bits is not None), LINES), "lines")
+    return _marked(ws, docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
+                                   F.col("text").cast("binary").alias("text")), similarity, bits, blocks)
+
+
+def _marked(ws: Workspace, rows: DataFrame, similarity: float, bits: int, blocks: int) -> DataFrame:
+    lines = ws.write(rows.mapInArrow(_lines, LINES), "lines")
     classes = ws.write(lines.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(
         F.min("fp").alias("fp"), F.min(F.struct("doc_id", "row_id", "line_no")).alias("first")).withColumn(
         "cid", F.monotonically_increasing_id()), "classes")
-    met = near_classes(rows, classes, similarity) if bits is None else _of_near_fingerprints(ws, classes, bits, blocks)
-    pairs = ws.write(met, "pairs")
+    pairs = ws.write(_of_near_fingerprints(ws, classes, bits, blocks), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     keys = ws.write(classes.join(wanted, "cid").select("cid", "k1", "k2"), "keys")
     hints = docs.sparkSession.sparkContext.broadcast(_wanted_bits(keys))
@@ -356,6 +235,7 @@ def fuzzy_lines(docs: DataFrame, similarity: float = SIMILARITY, bits: int | Non
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("cid").alias("b"), F.col("line").alias("y")), "b")
     links = ws.write(both.mapInArrow(_verified(similarity), "a long, b long"), "links")
+    ws.drop(pairs, keys, texts)
     roots = components(ws, links, "a", "b")
     grouped = classes.join(roots, classes["cid"] == roots["node"], "left").select(
         "k1", "k2", "first", F.coalesce("root", "cid").alias("group_id"))
@@ -408,9 +288,12 @@ def _verified(similarity: float):
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and the text of its kept lines, for every row; a text that loses all lines is empty."""
-    marked = fuzzy_lines(docs, similarity, bits=None)
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ws = Workspace(docs.sparkSession, "lines")
+    # Numbered once and written: a second numbering of a shuffled input could differ.
+    rows = ws.write(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
+                                F.col("text").cast("binary").alias("text")), "rows")
+    marked = _marked(ws, rows, similarity, BITS, BLOCKS)
     lost = marked.filter("NOT kept").groupBy("row_id").agg(F.collect_set("line_no").alias("lost"))
-    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    split = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n", -1)
     kept = F.filter(split, lambda _, i: ~F.array_contains(F.coalesce("lost", F.array().cast("array<bigint>")), i.cast("long")))
     return rows.join(lost, "row_id", "left").select("doc_id", F.array_join(kept, "\n").alias("text"))

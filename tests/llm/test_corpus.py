@@ -320,28 +320,28 @@ def test_fuzzy_lines(spark, case):
     same(got, want)
 
 
-def test_fuzzy_lines_query_recall(spark):
-    """Against all pairs of lines by edit distance alone."""
-    gen, base = random.Random(11), []
-    for size in (6, 9, 12, 14, 18, 30, 45, 60, 100, 250):
-        for _ in range(12):
-            base.append("".join(gen.choice("abcdefghij klmnop") for _ in range(size)).replace(" ", "_"))
-    near = []
-    for line in base:
-        line = list(line)
-        for i in gen.sample(range(len(line)), max(1, len(line) // 20)):  # one letter, or one in twenty
-            line[i] = "Z"
-        near.append("".join(line).lower())
-    lines = base + near
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
-    got = {r["doc_id"]: r["group_id"] for r in fuzzy_lines.fuzzy_lines(df, bits=None).collect()}
-    want = [(i, j) for i, a in enumerate(lines) for j, b in enumerate(lines[:i])
-            if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and fuzzy_lines.edit_within(a, b, int(0.2 * max(len(a), len(b)) + 1e-9))]
-    found = [got[i] == got[j] for i, j in want]
-    tiny = [got[i] == got[j] for i, j in want if max(len(lines[i]), len(lines[j])) <= fuzzy_lines.TINY]
-    assert len(want) >= 120 and all(tiny) and sum(found) >= 0.97 * len(found), (len(want), sum(found))
-    root = brute.roots(len(lines), want)
-    assert all(root[i] == root[j] for i in got for j in got if got[i] == got[j])  # nothing else is joined
+def test_fuzzy_lines_of_the_rule_are_all_found(spark):
+    """All pairs of both near fingerprints and edit similarity, planted with edits spread evenly."""
+    gen, lines = random.Random(11), []
+    for size in (20, 40, 60, 100, 200, 400):
+        for share in (0.05, 0.1, 0.15, 0.2):
+            for _ in range(6):
+                words = "".join(gen.choice("abcdefghij  ") for _ in range(size))
+                edited = list(words)
+                for i in gen.sample(range(size), max(1, int(size * share))):
+                    edited[i] = "Z"
+                lines += [words, "".join(edited), " ".join(reversed(words.split()))]
+    rows = list(enumerate(lines))
+    got = fuzzy_lines.fuzzy_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    same(got.select("doc_id", "line_no", "kept").collect(), brute.lines(rows))
+
+
+def test_fuzzy_lines_of_very_long_and_equal_lines(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, long), (2, long.upper()), (3, long.replace("w777 ", "w77 ")), (4, "a b"), (4, "a b"), (None, "A  B"), (5, None), (6, "")]
+    got = sorted((r["doc_id"] or 0, r["kept"]) for r in fuzzy_lines.fuzzy_lines(table(spark, rows)).collect())
+    assert got == [(0, True), (1, True), (2, False), (3, False), (4, False), (4, False), (5, True), (6, True)]
+    assert fuzzy_lines.fuzzy_lines(table(spark, [])).count() == 0
 
 
 def test_edit_within():
