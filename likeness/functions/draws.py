@@ -27,7 +27,8 @@ def uint32(hex_digest: Column) -> Column:
 
 
 def draw_uint(*parts: Column | str, seed: str | int | None = None) -> Column:
-    return uint32(digest(*parts, seed=seed))
+    """A uniform number in [0, 2**60), so that a modulus reaches the rows of any table."""
+    return F.conv(F.substring(digest(*parts, seed=seed), 1, 15), 16, 10).cast("long")
 
 
 def draw_below(n: Column, *parts: Column | str, seed: str | int | None = None) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.operators.ordering import magnitude_bucket, quantile, running_total
+from likeness.operators.ordering import quantile, running_total, with_bucket
 
 
 def rank_against_board(entrants: DataFrame, board: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -20,7 +20,7 @@ def rank_against_board(entrants: DataFrame, board: DataFrame, keys: Sequence[str
     stacked = board.select(*keys, value, F.lit(1).alias("_board")).unionByName(
         entrants.select(*keys, value, F.lit(0).alias("_board")))
     counted = stacked.groupBy(*keys, value).agg(F.sum("_board").alias("_n"))
-    below = running_total(counted, keys, magnitude_bucket(F.col(value)), [value], F.col("_n"),
+    below = running_total(with_bucket(counted, value), keys, F.col("_value_bucket"), [value], F.col("_n"),
                           before="_below", total="finalists")
     placed = entrants.join(below.select(*keys, value, "_below", "finalists"), [*keys, value])
     return placed.withColumn("rank", F.col("_below") + 1).withColumn(
@@ -54,8 +54,8 @@ def placement_table(
 
 
 def finite_mean(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
-    """Mean of the entries that are numbers; NaN and NULL do not count."""
-    return df.filter(~F.isnan(value)).groupBy(*keys).agg(F.avg(value).alias(out))
+    """Mean of the finite entries; NaN, infinities and NULL do not count."""
+    return df.filter(F.abs(F.col(value).cast("double")) < float("inf")).groupBy(*keys).agg(F.avg(value).alias(out))
 
 
 def head_to_head(metrics: DataFrame, baseline: str, cell: Sequence[str]) -> DataFrame:

@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from likeness.operators.ordering import magnitude_bucket
+from likeness.operators.ordering import with_bucket
 
 
 def _along_the_line(points: DataFrame, weights: list[Column]) -> DataFrame:
     """Per (entity, x): counts so far f0.., totals n0.. and the gap to the next x."""
     names = [f"_c{i}" for i in range(len(weights))]
     rows = points.groupBy("entity", "x").agg(*[w.alias(n) for w, n in zip(weights, names)])
-    rows = rows.withColumn("_b", magnitude_bucket(F.col("x")))
+    rows = with_bucket(rows, "x", "_b")
     group = Window.partitionBy("entity")
     ahead = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy("entity", "_b").agg(*[F.sum(n).alias(n) for n in names], F.min("x").alias("_first"))

@@ -44,18 +44,17 @@ class Rules:
         return keep & F.col("variant").isNull() if self.drop_variants else keep
 
 
+    def exact(self) -> Column:
+        return self.accepts() & F.col("potency").isNotNull() & (F.col("relation") == "=") & (F.col("flag") == 1)
+
+    def censored(self) -> Column:
+        return self.accepts() & F.col("relation").isin(">", ">=") & (F.col("value") > 0)
+
+
 def curate_exact(measurements: DataFrame, rules: Rules) -> DataFrame:
-    return measurements.filter(
-        rules.accepts()
-        & F.col("potency").isNotNull()
-        & (F.col("relation") == "=")
-        & (F.col("flag") == 1)
-    )
+    return measurements.filter(rules.exact())
 
 
 def curate_censored(measurements: DataFrame, rules: Rules) -> DataFrame:
     """Records that state only that potency is weaker than a bound."""
-    kept = measurements.filter(
-        rules.accepts() & F.col("relation").isin(">", ">=") & (F.col("value") > 0)
-    )
-    return kept.withColumn("bound", bound_from_value("value"))
+    return measurements.filter(rules.censored()).withColumn("bound", bound_from_value("value"))

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.functions.scalars import finite
-from likeness.operators.ordering import dense_index, quantile, top_fraction, value_ranks
+from likeness.operators.ordering import dense_index, top_fraction, value_ranks
+from likeness.session import cut_lineage
 
 
 def _centred(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -89,25 +90,57 @@ def ordinal_rank01(df: DataFrame, keys: Sequence[str], value: str, key: str, out
     return placed.withColumn(out, rank).drop("before", "total", "_tie")
 
 
-def task_metrics(predictions: DataFrame, keys: Sequence[str], key: str, y: str, pred: str) -> DataFrame:
-    """Seven metrics per keys; all NULL below 5 rows or for a constant prediction."""
+def task_metrics(predictions: DataFrame, keys: Sequence[str], key: str, y: str, pred: str, frac: float = 0.1) -> DataFrame:
+    """Seven metrics per keys; all NULL below 5 rows or for a constant prediction.
+
+    Both rankings are made once and joined to the rows; every metric is then an
+    aggregate of the same pass. Active rows are those at or above the third
+    quartile of y. Only rows whose prediction ties with the edge of the best
+    ``frac`` are put in an order of their own, by key hash.
+    """
     keys = list(keys)
     ok = predictions.withColumn(y, finite(y)).withColumn(pred, finite(pred)).dropna(subset=[y, pred])
-    base = ok.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        ((F.count(F.lit(1)) >= 5) & (F.min(pred) < F.max(pred))).alias("_usable"),
-        linear_correlation(y, pred).alias("pearson"),
-        F.avg(F.abs(F.col(y) - F.col(pred))).alias("mae"),
-        F.sqrt(F.avg((F.col(y) - F.col(pred)) * (F.col(y) - F.col(pred)))).alias("rmse"))
-    flagged = ok.join(quantile(ok, keys, y, 0.75, "_q75"), keys).withColumn("_active", F.col(y) >= F.col("_q75")).drop("_q75")
-    auc = roc_auc(flagged, keys, pred, "_active", "roc_auc")
-    top = top_precision_recall(flagged, keys, pred, key, "_active")
-    scored = base.join(spearman(ok, keys, y, pred), keys, "left").join(auc, keys, "left").join(top, keys, "left")
-    usable, both = F.col("_usable"), F.col("_usable") & F.col("roc_auc").isNotNull()
-    return scored.select(
+    ranks_y = cut_lineage(value_ranks(ok, keys, y).select(
+        *keys, y, F.col("n").alias("_ny"), F.col("before").alias("_by"), F.col("avg_rank").alias("_ry"), F.col("total").alias("n")), "ranks")
+    ranks_p = cut_lineage(value_ranks(ok, keys, pred).select(
+        *keys, pred, F.col("n").alias("_np"), F.col("before").alias("_bp"), F.col("avg_rank").alias("_rp")), "ranks")
+    at = (F.col("n") - 1) * F.lit(0.75)
+    covers = lambda p: (F.col("_by") <= p) & (p < F.col("_by") + F.col("_ny"))
+    low, high = F.floor(at), F.ceil(at)
+    quartile = ranks_y.filter(covers(low) | covers(high)).groupBy(*keys).agg(
+        F.min(y).alias("_lo"), F.max(y).alias("_hi"), F.max(at - low).alias("_part"))
+    active_y = ranks_y.join(quartile, keys).withColumn(
+        "_active", F.col(y) >= F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).drop("_lo", "_hi", "_part", "_ny", "_by")
+    k = F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(frac)).cast("long"))
+    above = F.col("n") - F.col("_bp") - F.col("_np")  # rows with a better prediction
+    rows = ok.select(*keys, key, y, pred).join(active_y, [*keys, y]).join(ranks_p, [*keys, pred]).withColumn(
+        "_room", k - above).withColumn("_side", F.when(F.col("_room") >= F.col("_np"), 1).when(F.col("_room") > 0, 0).otherwise(-1))
+    rows = cut_lineage(rows.drop("_bp", "_by"), "ranked")
+    tied = dense_index(rows.filter("_side = 0").select(*keys, key, "_active", "_room"), key, "top", keys, index="_pos")
+    drawn = tied.filter("_pos < _room").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_drawn"), F.count_if(F.col("_active")).alias("_drawn_hits"))
+    gap = F.col(y) - F.col(pred)
+    middle = (F.col("n") + 1) / 2.0
+    ry, rp = F.col("_ry") - middle, F.col("_rp") - middle
+    spread = F.sqrt(F.sum(ry * ry)) * F.sqrt(F.sum(rp * rp))
+    pos = F.count_if(F.col("_active")).cast("double")
+    neg = F.count_if(~F.col("_active")).cast("double")
+    won = F.sum(F.when(F.col("_active"), F.col("_rp"))) - pos * (pos + 1) / 2.0
+    scored = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(pred).alias("_least"), F.max(pred).alias("_most"),
+        (F.sum(ry * rp) / F.nullif(spread, F.lit(0.0))).alias("spearman"), linear_correlation(y, pred).alias("pearson"),
+        F.avg(F.abs(gap)).alias("mae"), F.sqrt(F.avg(gap * gap)).alias("rmse"),
+        (won / F.nullif(pos * neg, F.lit(0.0))).alias("roc_auc"), pos.alias("_actives"),
+        F.count_if(F.col("_side") == 1).alias("_top"), F.count_if(F.col("_active") & (F.col("_side") == 1)).alias("_hits"))
+    usable = (F.col("n") >= 5) & (F.col("_least") < F.col("_most"))
+    both = usable & F.col("roc_auc").isNotNull()
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    hits = (F.col("_hits") + zero("_drawn_hits")).cast("double")
+    top = {"prec10": hits / (F.col("_top") + zero("_drawn")), "rec10": hits / F.nullif(F.col("_actives"), F.lit(0.0))}
+    return scored.join(drawn, keys, "left").select(
         *keys, "n",
         *[F.when(usable, F.col(c)).alias(c) for c in ("spearman", "pearson", "mae", "rmse", "roc_auc")],
-        *[F.when(both, F.col(c)).alias(c) for c in ("prec10", "rec10")])
+        *[F.when(both, c).alias(name) for name, c in top.items()])
 
 
 # Limits of the two regimes, relatedness in standard deviations,

@@ -16,17 +16,30 @@ from pyspark.sql import functions as F
 
 from likeness.functions.draws import digest, hash_bucket
 
-_STEPS_PER_OCTAVE = 256
-_OFFSET = 300_000  # above 256 * 1075, so that negative and positive never meet
+#: Hexadecimal digits of the hash prefix by which ``sample_n`` counts.
+CUT_HEX = 4
 
+#: Buckets that an ordering is cut into; a power of two.
+BUCKETS = 1024
 
-def magnitude_bucket(value: Column) -> Column:
-    """Monotone bucket of a finite double: 256 steps for each power of two."""
-    v = value.cast("double")
-    step = F.floor(F.log2(F.abs(v)) * _STEPS_PER_OCTAVE).cast("long") + _OFFSET
-    return (
-        F.when(v == 0, F.lit(0).cast("long")).when(v > 0, step).otherwise(-step)
-    )
+
+def with_bucket(df: DataFrame, value: str, out: str = "_value_bucket") -> DataFrame:
+    """Add a monotone bucket of each value, with about as many rows of ``df`` in each.
+
+    The edges come from one mergeable sketch of the values, whatever their
+    magnitude or range: a scalar subquery of BUCKETS - 1 numbers. A bucket may be
+    larger than the others by the sketch's error or where one value repeats.
+    NULL has no bucket; NaN is above every number.
+    """
+    shares = [i / BUCKETS for i in range(1, BUCKETS)]
+    v = F.col(value).cast("double")
+    edges = F.col("_edges")
+    marked = df.withColumn("_edges", df.agg(F.percentile_approx(v, shares, 10 * BUCKETS)).scalar())
+    steps = F.array(*[F.lit(BUCKETS >> i) for i in range(1, BUCKETS.bit_length())])
+    # How many edges are not above the value, by halving.
+    below = F.aggregate(steps, F.lit(0), lambda n, step: F.when(
+        (n + step <= F.size(edges)) & (F.get(edges, n + step - 1) <= v), n + step).otherwise(n))
+    return marked.withColumn(out, F.when(v.isNotNull(), below).cast("long")).drop("_edges")
 
 
 def running_total(
@@ -95,8 +108,25 @@ def dense_index(
 def sample_n(
     df: DataFrame, key: str | Sequence[str], n: int, seed: str | int, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Exactly ``n`` rows (per ``keys``) without replacement, by hash order."""
-    return dense_index(df, key, seed, keys, index="_pos").filter(F.col("_pos") < n).drop("_pos")
+    """Exactly ``n`` rows (per ``keys``) without replacement, by hash order; ``key`` is unique within ``keys``.
+
+    Two passes: rows per hash prefix are counted, and the prefix is found that
+    the n-th row has. Rows with a smaller prefix are taken where they lie; only
+    those of the one prefix at the edge are put in order.
+    """
+    parts, keys = [key] if isinstance(key, str) else list(key), list(keys)
+    hashed = df.withColumn("_hash", digest(*parts, seed=seed))
+    prefix = F.substring("_hash", 1, CUT_HEX)
+    counted = hashed.groupBy(*keys, prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+    up_to = Window.partitionBy(*keys).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = counted.withColumn("_to", F.sum("_n").over(up_to)).filter(F.col("_to") - F.col("_n") < n).groupBy(*keys).agg(
+        F.max("_prefix").alias("_edge"), (F.lit(n) - F.max(F.col("_to") - F.col("_n"))).alias("_room"))
+    joined = hashed.join(edge, keys) if keys else hashed.crossJoin(F.broadcast(edge))  # without keys the edge is one row
+    taken = joined.filter(prefix < F.col("_edge")).select(*df.columns)
+    order = Window.partitionBy(*keys).orderBy("_hash", *parts)
+    last = joined.filter(prefix == F.col("_edge")).withColumn("_pos", F.row_number().over(order)).filter(
+        F.col("_pos") <= F.col("_room")).select(*df.columns)
+    return taken.unionByName(last)
 
 
 def value_ranks(
@@ -111,8 +141,8 @@ def value_ranks(
     """
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *sums)
     ranked = running_total(
-        counted, keys, magnitude_bucket(F.col(value)), [value], F.col("n"), total="total"
-    )
+        with_bucket(counted, value), keys, F.col("_value_bucket"), [value], F.col("n"), total="total"
+    ).drop("_value_bucket")
     return ranked.withColumn("avg_rank", F.col("before") + (F.col("n") + 1) / F.lit(2.0))
 
 

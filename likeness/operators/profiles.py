@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.operators.sampling import random_pairs
@@ -63,26 +63,16 @@ def density(coo: DataFrame, row: str, col: str) -> DataFrame:
 def cosine_of_pairs(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(a, b, raw): sparse cosine of the distinct listed pairs, 0 without overlap.
 
-    The second join is on (entity, target), so a wide profile is spread over
-    tasks instead of being gathered into one.
+    Rows are brought to length one first, so a cosine is one sum; the outer joins
+    keep pairs that share nothing. The second join is on (entity, target), so a
+    wide profile is spread over tasks instead of being gathered into one.
     """
-    distinct = pairs.select("a", "b").distinct()
-    left = profiles.select(F.col("entity").alias("a"), "target", F.col("value").alias("_va"))
-    right = profiles.select(F.col("entity").alias("b"), "target", F.col("value").alias("_vb"))
-    dots = (
-        distinct.join(left, "a")
-        .join(right, ["b", "target"])
-        .groupBy("a", "b")
-        .agg(F.sum(F.col("_va") * F.col("_vb")).alias("_dot"))
-    )
-    norms = row_norms(profiles)
-    na = norms.select(F.col("entity").alias("a"), F.col("norm").alias("_na"))
-    nb = norms.select(F.col("entity").alias("b"), F.col("norm").alias("_nb"))
-    raw = F.col("_dot") / F.nullif(F.col("_na") * F.col("_nb"), F.lit(0.0))
-    scored = dots.join(na, "a").join(nb, "b").select("a", "b", raw.alias("raw"))
-    return distinct.join(scored, ["a", "b"], "left").select(
-        "a", "b", F.coalesce("raw", F.lit(0.0)).alias("raw")
-    )
+    norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("entity")))
+    unit = profiles.select("entity", "target", (F.col("value") / F.nullif(norm, F.lit(0.0))).alias("_u"))
+    left = unit.select(F.col("entity").alias("a"), "target", F.col("_u").alias("_ua"))
+    right = unit.select(F.col("entity").alias("b"), "target", F.col("_u").alias("_ub"))
+    met = pairs.select("a", "b").distinct().join(left, "a", "left").join(right, ["b", "target"], "left")
+    return met.groupBy("a", "b").agg(F.coalesce(F.sum(F.col("_ua") * F.col("_ub")), F.lit(0.0)).alias("raw"))
 
 
 def size_bin(size: Column) -> Column:

@@ -4,8 +4,8 @@
 the definition of top-k over dense fingerprints demands, but pairs never become
 rows: both sides are cut into hash blocks of bounded expected size, each pair of
 blocks is one small matrix product inside a task, and only the k best of a
-block leave it. ``tanimoto_join`` prunes by size first; ``identity_join``, over
-unfolded and mostly rare features, uses a rare-feature prefix filter.
+block leave it. That is for stated query sets; neighbours of every record and
+joins over unfolded features are in ``closeness``. ``tanimoto_join`` prunes by size.
 """
 
 from __future__ import annotations
@@ -117,40 +117,15 @@ def nearest(queries: DataFrame, references: DataFrame, k: int, max_similarity: f
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _cell_rows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    right = right.sort_values("id", ignore_index=True)
-    rows = []
-    if len(left) and len(right):
-        for start, block in _strips(left, right):
-            rows.extend(zip(left["id"].iloc[start:start + len(block)], block))
-    ids = [right["id"].to_list()] * len(rows)
-    return pd.DataFrame({"id": [r[0] for r in rows], "columns": ids, "sims": [r[1] for r in rows]})
+def distances_to(rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """(id, distances): 1 - Tanimoto to each of ``columns`` in id order, as one array per record.
 
-
-def _vector_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    right = right.sort_values("id", ignore_index=True)
-    if not (len(left) and len(right)):
-        return pd.DataFrame({"id": [], "columns": [], "sims": []}).astype({"id": "int64"})
-    a, b = np.stack(left["bits"].to_list()), np.stack(right["bits"].to_list())
-    rows = [np.sqrt(((b - x) ** 2).sum(1)) for x in a]
-    return pd.DataFrame({"id": left["id"], "columns": [right["id"].to_list()] * len(rows), "sims": rows})
-
-
-def distance_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """As ``similarity_rows`` for dense vectors (id, bits) and Euclidean distance."""
-    return block_cells(rows, columns, _vector_cell, "id long, columns array<long>, sims array<double>",
-                       right_rows=1024)
-
-
-def similarity_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """(id, columns, sims): one row per record and block of columns.
-
-    The dense similarity matrix in row form: the second set is laid out as
-    arrays of at most a block's length, so a record is one row and not one row
-    per pair.
+    ``columns`` is a table of fixed size (id, bits), which travels as one scalar
+    value of the plan; a second table of any size has no place in a row.
     """
-    return block_cells(rows, columns, _cell_rows, "id long, columns array<long>, sims array<double>",
-                       left_rows=QUERY_BLOCK, right_rows=1024)
+    listed = columns.agg(F.array_sort(F.collect_list(F.struct("id", "bits")))).scalar()
+    return rows.withColumn("_columns", listed).select(
+        "id", F.transform("_columns", lambda c: F.lit(1.0) - tanimoto(F.col("bits"), c["bits"])).alias("distances"))
 
 
 def tanimoto_of_pairs(pairs: DataFrame, prints: DataFrame, out: str = "sim") -> DataFrame:
@@ -165,29 +140,6 @@ def tanimoto_of_pairs(pairs: DataFrame, prints: DataFrame, out: str = "sim") ->
     )
 
 
-def _by_rarity(sets: DataFrame) -> DataFrame:
-    """(id, size, feature, pos): features of each set, rarest first, from 1."""
-    exploded = sets.select("id", F.size("bits").alias("size"), F.explode("bits").alias("feature"))
-    frequency = exploded.groupBy("feature").agg(F.count(F.lit(1)).alias("_df"))
-    order = Window.partitionBy("id").orderBy("_df", "feature")
-    return exploded.join(frequency, "feature").select(
-        "id", "size", "feature", F.row_number().over(order).alias("pos"))
-
-
-def _prefix_candidates(ranked: DataFrame, share: float) -> DataFrame:
-    """Distinct (a, b), a the smaller set, that meet on a rare feature of it.
-
-    Sets that share ``share`` of the smaller one must meet in one of the rarest
-    size - ceil(share * size) + 1 features of it, so common features, which
-    would pair everything with everything, are not joined on.
-    """
-    prefix = F.col("pos") <= F.col("size") - F.ceil(F.col("size") * F.lit(share)) + 1
-    small = ranked.filter(prefix).select(F.col("id").alias("a"), F.col("size").alias("na"), "feature")
-    large = ranked.select(F.col("id").alias("b"), F.col("size").alias("nb"), "feature")
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    return small.join(large, "feature").filter(ordered).select("a", "b").distinct()
-
-
 def _cell_at_least(threshold: float) -> Callable:
     def close(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
@@ -232,20 +184,6 @@ def tanimoto_join(prints: DataFrame, threshold: float) -> DataFrame:
     return _per_cell(lhs, rhs, ["rband", "lb", "rb"], _cell_at_least(threshold), "a long, b long, sim double")
 
 
-def identity_join(sets: DataFrame, threshold: float = 0.30) -> DataFrame:
-    """(a, b, identity), a < b: shared features over the smaller set's size."""
-    ranked = _by_rarity(sets)
-    pairs = _prefix_candidates(ranked, threshold)
-    left = sets.select(F.col("id").alias("a"), F.col("bits").alias("_ba"))
-    right = sets.select(F.col("id").alias("b"), F.col("bits").alias("_bb"))
-    identity = F.size(F.array_intersect("_ba", "_bb")) / F.size("_ba")
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), identity.alias("identity"))
-        .filter(F.col("identity") >= threshold)
-    )
-
-
 def content_groups(df: DataFrame, key: str, content: Column) -> tuple[DataFrame, DataFrame]:
     """Distinct contents (content, id, copies) and the map from key to its content's id.
 

@@ -10,16 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likeness.functions.scalars import conditions_hash
+from likeness.functions.scalars import bound_from_value, conditions_hash
 from likeness.operators.calls import activity_calls
-from likeness.operators.curate import Rules, curate_censored, curate_exact
+from likeness.operators.curate import Rules
 from likeness.operators.lineage import lineage_similarity, max_merge
 from likeness.operators.profiles import idf_weight, raw_profiles, smooth, target_idf
 from likeness.plans.registry import Tables
 from likeness.session import cut_lineage
 from likeness.sources.tables import spread
 
+#: Least similarity of structural neighbours: below it a pair counts as a scaffold hop, not as close.
+CLOSE = 0.35
 RULES = Rules(types=("A", "N", "R"), assay_types=("F", "O", "P"))
+#: For the derived quality fields of ``measurements(strict=True)``: every predicate rejects rows.
+STRICT_RULES = Rules(types=("A", "R"), assay_types=("F", "O"))
 
 
 def measurements(t: Tables, strict: bool = False) -> DataFrame:
@@ -34,27 +38,30 @@ def measurements(t: Tables, strict: bool = False) -> DataFrame:
     line = F.col("l_linenumber")
     flag = F.when(line == 7, 0).otherwise(1) if strict else F.lit(1)
     confidence = F.when(line == 6, 8).otherwise(9) if strict else F.lit(9)
-    duplicate = F.when((line == 5) & (F.col("o_orderstatus") == "P"), 1).otherwise(0)
+    duplicate = F.when((line == 5) & (F.col("o_orderstatus") == "O"), 1).otherwise(0)
     comment = (
         F.when(F.col("o_orderpriority") == "5-LOW", "Inconclusive")
         .when(F.col("o_orderpriority") != "4-NOT SPECIFIED", "Active")
     )
+    relation = F.when(F.col("l_tax") >= 0.08, ">=").when(F.col("l_tax") >= 0.07, ">").otherwise("=")
+    units = F.when(F.col("o_orderpriority") == "3-MEDIUM", "ug.mL-1").otherwise("nM")
+    kind = F.when(F.col("s_nationkey") % 5 == 4, "CELL-LINE").otherwise("SINGLE PROTEIN")
     return joined.select(
         F.col("l_partkey").alias("entity"),
         F.col("l_suppkey").alias("supplier"),
         F.col("s_nationkey").cast("long").alias("nation"),
         F.col("l_returnflag").alias("type"),
-        F.when(F.col("l_tax") >= 0.07, ">").otherwise("=").alias("relation"),
+        relation.alias("relation"),
         (F.lit(4.0) + F.col("l_quantity") / 20.0).alias("potency"),
         F.col("l_extendedprice").alias("value"),
-        F.lit("nM").alias("units"),
+        (units if strict else F.lit("nM")).alias("units"),
         flag.alias("flag"),
         F.when(F.col("l_discount") >= 0.10, "outside range").alias("validity"),
         (duplicate if strict else F.lit(0)).alias("duplicate"),
         (comment if strict else F.lit(None).cast("string")).alias("comment"),
         confidence.alias("confidence"),
         F.col("o_orderstatus").alias("assay_type"),
-        F.lit("SINGLE PROTEIN").alias("target_type"),
+        (kind if strict else F.lit("SINGLE PROTEIN")).alias("target_type"),
         conditions_hash("o_orderpriority", "l_linestatus", "o_orderstatus").alias("ach"),
         F.col("l_linestatus").alias("line_status"),
         F.col("l_orderkey").alias("assay_id"),
@@ -62,11 +69,12 @@ def measurements(t: Tables, strict: bool = False) -> DataFrame:
 
 
 def branches(t: Tables, target: str, ach: str = "ach") -> tuple[DataFrame, DataFrame]:
-    m = measurements(t)
-    cols = ["entity", F.col(target).alias("target"), "type", F.col(ach).alias("ach")]
-    exact = curate_exact(m, RULES).select(*cols, "potency")
-    censored = curate_censored(m, RULES).select(*cols, "bound")
-    return exact, censored
+    """The exact and the censored records; lines are joined once, and both branches read what was written."""
+    m = measurements(t).withColumns({"_exact": RULES.exact(), "_censored": RULES.censored()})
+    kept = cut_lineage(m.filter("_exact OR _censored").select(
+        "entity", F.col(target).alias("target"), "type", F.col(ach).alias("ach"), "potency",
+        bound_from_value("value").alias("bound"), "_exact", "_censored"), "branches")
+    return kept.filter("_exact").drop("bound", "_exact", "_censored"), kept.filter("_censored").drop("potency", "_exact", "_censored")
 
 
 def sparse_calls(t: Tables) -> DataFrame:
@@ -139,6 +147,17 @@ def nation_profiles(t: Tables) -> tuple[DataFrame, DataFrame]:
     return raw, cut_lineage(smoothed, "smoothed")
 
 
+def supplier_profiles(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(raw, weighted) profiles of parts over suppliers: many targets, each related to itself alone."""
+    raw = cut_lineage(sparse_calls(t).select("entity", "target", "value"), "raw")
+    return raw, cut_lineage(idf_weight(raw, target_idf(raw)).filter("value <> 0"), "weighted")
+
+
+SUPPLIER_PROFILES = SPARSE_CALLS + """,
+raw AS MATERIALIZED (SELECT entity, target, value FROM calls),
+idf AS (SELECT target, count(*) FILTER (value <> 0) AS hits,
+ ln((SELECT count(DISTINCT entity) FROM raw)::DOUBLE / greatest(count(*) FILTER (value <> 0), 1)) AS idf FROM raw GROUP BY target),
+smoothed AS MATERIALIZED (SELECT * FROM (SELECT entity, target, value*idf AS value FROM raw JOIN idf USING (target)) WHERE value <> 0)"""
 PROFILES = NATION_CALLS + """,
 raw AS (SELECT entity, target, value FROM calls WHERE target IN (SELECT n_nationkey FROM nation)),
 rel AS (SELECT a.n_nationkey::BIGINT AS t1, b.n_nationkey::BIGINT AS t2,

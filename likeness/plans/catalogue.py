@@ -1,4 +1,5 @@
 """Importing this module registers every query."""
 
-from likeness.plans import curation, evaluation, features, likenesses, modelling, profiling, scoring, shapes  # noqa: F401
+from likeness.plans import (  # noqa: F401
+    curation, evaluation, features, learning, likenesses, modelling, profiling, scoring, shapes)
 from likeness.plans.registry import ORACLES, QUERIES  # noqa: F401

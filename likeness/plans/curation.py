@@ -10,14 +10,15 @@ from likeness.operators import calls as C
 from likeness.operators.curate import Rules, curate_censored, curate_exact
 from likeness.operators.ordering import quantile, sample_n
 from likeness.plans.base import (
-    MEAS, NATION_CALLS, RULES, SPARSE_CALLS, branches, measurements, nation_calls, sparse_calls,
+    MEAS, NATION_CALLS, RULES, SPARSE_CALLS, STRICT_RULES, branches, measurements, nation_calls, sparse_calls,
 )
 from likeness.plans.registry import query
 
 # --- predicates ---------------------------------------------------------------
 
 STRICT = """ FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN supplier ON l_suppkey=s_suppkey
-WHERE l_discount < 0.10 AND l_linenumber <> 6 AND NOT (l_linenumber = 5 AND o_orderstatus = 'P')
+WHERE l_discount < 0.10 AND l_linenumber <> 6 AND NOT (l_linenumber = 5 AND o_orderstatus = 'O')
+ AND l_returnflag IN ('A','R') AND o_orderstatus IN ('F','O') AND o_orderpriority <> '3-MEDIUM' AND s_nationkey % 5 <> 4
  AND (CASE WHEN o_orderpriority='5-LOW' THEN 'Inconclusive'
   WHEN o_orderpriority<>'4-NOT SPECIFIED' THEN 'Active' END IS NULL OR o_orderpriority <> '5-LOW')"""
 
@@ -26,7 +27,7 @@ WHERE l_discount < 0.10 AND l_linenumber <> 6 AND NOT (l_linenumber = 5 AND o_or
        "4.0::DOUBLE + l_quantity/20.0::DOUBLE AS potency" + STRICT
        + " AND l_tax < 0.07 AND l_linenumber <> 7")
 def _(t):
-    return curate_exact(measurements(t, strict=True), RULES).select(
+    return curate_exact(measurements(t, strict=True), STRICT_RULES).select(
         "entity", "supplier", "type", "potency")
 
 
@@ -34,7 +35,7 @@ def _(t):
        "round(9.0::DOUBLE - log10(l_extendedprice), 6) AS bound" + STRICT
        + " AND l_tax >= 0.07 AND l_extendedprice > 0")
 def _(t):
-    return curate_censored(measurements(t, strict=True), RULES).select(
+    return curate_censored(measurements(t, strict=True), STRICT_RULES).select(
         "entity", "supplier", "type", F.round("bound", 6).alias("bound"))
 
 

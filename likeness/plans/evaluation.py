@@ -1,7 +1,7 @@
 """From calls to scored pairs: how well a representation tells alike entities.
 
 Entities are parts, described by type, brand, the two words of the name and a
-size class; their measured side is the profile over nations.
+size class; their measured side is the profile over suppliers.
 """
 
 from __future__ import annotations
@@ -13,19 +13,18 @@ from likeness.functions import vectors as V
 from likeness.operators import metrics as M
 from likeness.operators import profiles as P
 from likeness.operators.calls import first_source
+from likeness.operators.closeness import near_records
 from likeness.operators.neighbours import neighbour_profile
-from likeness.operators.ordering import sample_n
 from likeness.operators.sampling import group_pairs, random_pairs
-from likeness.operators.similarity import nearest, tanimoto_of_pairs
-from likeness.operators.splits import group_disjoint_split
+from likeness.operators.similarity import tanimoto_of_pairs
+from likeness.operators.splits import group_disjoint_split, group_key
 from likeness.plans import sqlparts as Q
-from likeness.plans.base import PROFILES, nation_profiles
+from likeness.plans.base import CLOSE, SUPPLIER_PROFILES, supplier_profiles
+from likeness.plans.likenesses import hashed
 from likeness.plans.registry import query
 from likeness.session import cut_lineage
 
-# Related means one deviation above size-matched random pairs: profiles over 25
-# nations never reach the three that thousands of targets allow.
-RELATED = 1.0
+RELATED = M.RELATED_Z
 r6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 
 
@@ -46,9 +45,9 @@ class Study:
 
     def __init__(self, t):
         self.t = t
-        self.raw, self.smoothed = nation_profiles(t)
+        self.raw, self.smoothed = supplier_profiles(t)
         profiled = self.raw.select("entity").distinct()
-        parts = t.part.select(F.col("p_partkey").alias("entity"), F.concat("p_brand", "p_type").alias("grp"))
+        parts = t.part.select(F.col("p_partkey").alias("entity"), group_key(F.concat("p_brand", "p_type")).alias("grp"))
         split = group_disjoint_split(parts.join(profiled, "entity", "left_semi"), "grp", 0.2, "parts")
         self.entities = cut_lineage(split.select("entity", "split"), "entities")
         self.eligible = self.entities.filter("split = 1").select("entity")
@@ -58,9 +57,9 @@ class Study:
         """(a, b, source): three kinds of test pairs, one row per ordered pair."""
         positive = self.raw.filter("value > 0").join(self.eligible, "entity", "left_semi")
         shared = group_pairs(positive, "target", "entity", "shared").select("a", "b", F.lit("shared_target").alias("source"))
-        own = self.prints.join(self.eligible.toDF("id"), "id", "left_semi")
-        anchors = own.join(sample_n(self.eligible, "entity", 20_000, "anchor").toDF("id"), "id", "left_semi")
-        close = nearest(anchors, own, 8, 0.999).select("a", "b", F.lit("structural").alias("source"))
+        own = part_words(self.t).select("id", hashed(FP.features(F.col("words"), "ngram2")).alias("feats")).join(
+            self.eligible.toDF("id"), "id", "left_semi")
+        close = near_records(cut_lineage(own, "features"), 8, CLOSE, 0.999).select("a", "b", F.lit("structural").alias("source"))
         random = random_pairs(self.eligible, "entity", 20, "rand").select("a", "b", F.lit("random").alias("source"))
         order = F.when(F.col("source") == "shared_target", 0).when(F.col("source") == "structural", 1).otherwise(2)
         stacked = shared.unionByName(close).unionByName(random)
@@ -77,7 +76,7 @@ class Study:
 
 
 TEACHER = ",\n".join([
-    PROFILES.replace("raw AS (", "raw AS MATERIALIZED (").replace("smoothed AS (", "smoothed AS MATERIALIZED ("),
+    SUPPLIER_PROFILES,
     """prof AS (SELECT p_partkey AS entity, p_brand||p_type AS grp FROM part WHERE p_partkey IN (SELECT entity FROM raw)),
 gs AS (SELECT grp, count(*) AS size FROM prof GROUP BY 1),
 cum AS (SELECT grp, coalesce(sum(size) OVER (ORDER BY md5(concat_ws('|',grp,'parts')), grp
@@ -86,12 +85,11 @@ ents AS MATERIALIZED (SELECT entity, CASE WHEN before < floor((SELECT count(*) F
 el AS MATERIALIZED (SELECT entity FROM ents WHERE split=1),
 ptok AS MATERIALIZED (SELECT p_partkey AS id, [p_type, p_brand, split_part(p_name,' ',1), split_part(p_name,' ',2), 'size'||(p_size//10)] AS w FROM part)""",
     Q.fp("pfp", "ptok"),
-    "efp AS MATERIALIZED (SELECT * FROM pfp WHERE id IN (SELECT entity FROM el))",
+    Q.features("pft", "ptok"), "eft AS MATERIALIZED (SELECT * FROM pft WHERE id IN (SELECT entity FROM el))",
     "pos AS (SELECT target, entity FROM raw WHERE value > 0 AND entity IN (SELECT entity FROM el))",
     Q.group_pairs("gp", "pos", "target", "entity", "shared"),
-    Q.tanimoto_all("ts", "efp", "efp"),
-    f"""anc AS (SELECT entity FROM (SELECT entity, {Q.position('entity', 'anchor')} AS p FROM el) WHERE p < 20000),
-st AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rk FROM ts JOIN anc ON entity=a WHERE sim <= 0.999) WHERE rk <= 8)""",
+    Q.close_pairs("ts", "eft", CLOSE),
+    "st AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rk FROM ts WHERE sim <= 0.999) WHERE rk <= 8)",
     Q.random_pairs("rnd", "el", "entity", 20, "rand"),
     """prs AS MATERIALIZED (SELECT a, b, CASE min(o) WHEN 0 THEN 'shared_target' WHEN 1 THEN 'structural' ELSE 'random' END AS source FROM
  (SELECT a, b, 0 AS o FROM gp UNION ALL SELECT a, b, 1 FROM st UNION ALL SELECT a, b, 2 FROM rnd) GROUP BY 1,2)""",

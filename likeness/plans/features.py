@@ -10,7 +10,7 @@ from likeness.functions import vectors as V
 from likeness.operators import features as X
 from likeness.plans import sqlparts as Q
 from likeness.plans.base import SPARSE_CALLS, sparse_calls
-from likeness.plans.likenesses import DESCRIPTORS, doc_descriptors, doc_prints, vectors
+from likeness.plans.likenesses import DESCRIPTORS, doc_descriptors, doc_prints, micro, vectors
 from likeness.plans.registry import query
 from likeness.session import scratch_path
 from likeness.sources import matrices, tasks
@@ -61,12 +61,12 @@ def _(t):
 
 
 @query("index_split", f"""WITH u AS (SELECT o_orderpriority AS task, o_orderkey AS row_id, o_totalprice AS y, {SIDE} AS split FROM orders WHERE o_orderstatus <> 'P'),
-g AS (SELECT task FROM u GROUP BY 1 HAVING count(*) FILTER (split='train') >= 30 AND count(*) FILTER (split='test') >= 20)
-SELECT task, row_id, y, split FROM u WHERE task IN (SELECT task FROM g)""")
+g AS (SELECT task, count(*) FILTER (split='train') < 30 OR count(*) FILTER (split='test') < 20 AS skipped FROM u GROUP BY 1)
+SELECT task, row_id, y, split, skipped FROM u JOIN g USING (task)""")
 def _(t):
     y = F.when(F.col("o_orderstatus") == "P", F.lit("pending")).otherwise(F.col("o_totalprice").cast("string"))
     data = t.orders.select(F.col("o_orderpriority").alias("task"), F.col("o_orderkey").alias("row_id"), y.alias("y"))
-    return tasks.index_split(data, written_split(t)).select("task", "row_id", "y", "split")
+    return tasks.index_split(data, written_split(t)).select("task", "row_id", "y", "split", "skipped")
 
 
 @query("sink_coo", f"WITH {SPARSE_CALLS} SELECT target, count(*) AS n, round(sum(value),6) AS total FROM calls GROUP BY 1")
@@ -134,14 +134,23 @@ def _(t):
         "score", F.round("score", 6))
 
 
-@query("maxmin_pick")
+PICKS = f"""v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+st AS (SELECT 0 AS pick, (SELECT min(vec_id) FROM v) AS chosen, vec_id, e, round(list_distance(e, (SELECT arg_min(e, vec_id) FROM v)),6) AS d FROM v
+ UNION ALL SELECT pick + 1, first_value(vec_id) OVER far, vec_id, e, least(d, round(list_distance(e, first_value(e) OVER far),6)) FROM st
+ WHERE pick < {X.MAX_PICKS - 1} WINDOW far AS (ORDER BY d DESC, vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+picks AS (SELECT DISTINCT pick, chosen FROM st)"""
+
+
+@query("maxmin_pick", f"WITH RECURSIVE {PICKS} SELECT pick, chosen AS vec_id FROM picks")
 def _(t):
-    picks = X.maxmin_pick(vectors(t), "vec_id", "v", 16)
+    picks = X.maxmin_pick(vectors(t), "vec_id", "v", X.MAX_PICKS)
     return t.spark.createDataFrame([(i, k) for i, k in enumerate(picks)], "pick int, vec_id long")
 
 
-@query("landmark_embedding")
+@query("landmark_embedding", f"""WITH RECURSIVE {PICKS}
+SELECT a.vec_id, string_agg(round_even(list_distance(a.e, b.e)*1e6,0)::BIGINT::VARCHAR, ',' ORDER BY b.vec_id) AS features
+FROM v a CROSS JOIN (SELECT v.* FROM v JOIN picks ON chosen=vec_id) b GROUP BY 1""")
 def _(t):
-    points = vectors(t)
-    picks = X.maxmin_pick(points, "vec_id", "v", 8)
-    return X.landmark_embedding(points, "vec_id", "v", picks)
+    points = vectors(t).select("vec_id", "v")
+    picks = X.maxmin_pick(points, "vec_id", "v", X.MAX_PICKS)
+    return X.landmark_embedding(points, "vec_id", "v", picks).select("vec_id", micro("features").alias("features"))

@@ -9,10 +9,12 @@ from likeness.functions import vectors as V
 from likeness.functions.draws import digest
 from likeness.functions.scalars import distance_to_similarity
 from likeness.operators import similarity as SIM
+from likeness.operators.closeness import CONTAINMENT, near_records, overlap_join
 from likeness.operators.neighbours import neighbour_profile
 from likeness.operators.ordering import sample_n
 from likeness.operators.sampling import random_pairs
 from likeness.plans import sqlparts as Q
+from likeness.plans.base import CLOSE
 from likeness.plans.registry import query
 from likeness.session import cut_lineage
 from likeness.sources.tables import spread
@@ -169,31 +171,35 @@ def _(t):
 # --- joins --------------------------------------------------------------------
 
 
-@query("tanimoto_topk_join", f"""WITH {Q.doc_tokens()}, {Q.fp('fp', 'tok')}, {Q.tanimoto_all('ts', 'fp', 'fp')},
-anchors AS (SELECT doc_id FROM (SELECT doc_id, {Q.position('doc_id', 'anchor')} AS p FROM documents) WHERE p < 20000)
+def doc_features(t, kind="ngram2"):
+    """(id, feats): n-grams of each document, unfolded, as 64-bit hashes."""
+    return spread(t.documents).select(F.col("doc_id").alias("id"), hashed(FP.features(FP.tokens(F.col("text")), kind)).alias("feats"))
+
+
+def hashed(features):
+    return F.transform(F.array_distinct(features), lambda f: F.xxhash64(f))
+
+
+@query("tanimoto_topk_join", f"""WITH {Q.doc_tokens()}, {Q.features('ff', 'tok')}, {Q.close_pairs('ts', 'ff', CLOSE)}
 SELECT a, b, round(sim,6) AS sim, rank FROM (SELECT a, b, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank
- FROM ts JOIN anchors ON doc_id=a WHERE sim <= 0.999) WHERE rank <= 8""")
+ FROM ts WHERE sim <= 0.999) WHERE rank <= 8""")
 def _(t):
-    prints = cut_lineage(doc_prints(t), "prints")
-    anchors = sample_n(t.documents.select(F.col("doc_id").alias("id")), "id", 20_000, "anchor")
-    anchors = prints.join(anchors, "id", "left_semi")
-    return SIM.nearest(anchors, prints, 8, max_similarity=0.999).select(
+    return near_records(cut_lineage(doc_features(t), "features"), 8, CLOSE, 0.999).select(
         "a", "b", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
+COLUMNS = 32  # records of the second table that a matrix has as columns
+
+
 @query("tanimoto_matrix", f"""WITH {Q.doc_tokens()}, {Q.doc_tokens('btok', 'benchmark', 'item_id')}, {Q.fp('fp', 'tok')}, {Q.fp('bfp', 'btok')},
-{Q.tanimoto_all('ts', 'fp', 'bfp')},
-g AS (SELECT doc_id AS a, item_id AS b FROM documents CROSS JOIN benchmark)
+{Q.tanimoto_all('ts', 'fp', 'bfp')}, cols AS (SELECT item_id FROM (SELECT item_id, {Q.position('item_id', 'columns')} AS p FROM benchmark) WHERE p < {COLUMNS}),
+g AS (SELECT doc_id AS a, item_id AS b FROM documents CROSS JOIN cols)
 SELECT a AS doc_id, string_agg(round_even((1.0-coalesce(sim,0.0))*1e6,0)::BIGINT::VARCHAR, ',' ORDER BY b) AS distances
 FROM g LEFT JOIN ts USING (a, b) GROUP BY a""")
 def _(t):
     items = t.benchmark.select(F.col("item_id").alias("id"), FP.bits(FP.tokens(F.col("text"))).alias("bits"))
-    rows = SIM.similarity_rows(doc_prints(t), items)
-    # Blocks of columns are put back in id order; a row holds the whole second set.
-    cells = F.arrays_zip("columns", "sims")
-    merged = rows.groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(cells))).alias("cells"))
-    return merged.select(F.col("id").alias("doc_id"),
-                         micro(F.transform("cells", lambda c: 1.0 - c["sims"])).alias("distances"))
+    rows = SIM.distances_to(doc_prints(t), sample_n(items, "id", COLUMNS, "columns"))
+    return rows.select(F.col("id").alias("doc_id"), micro("distances").alias("distances"))
 
 
 DEDUP = """cg AS (SELECT md5(text) AS content, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY 1)"""
@@ -217,16 +223,18 @@ def char_kmers(text, k=5):
     return F.array_distinct(V.let(F.split(text, ""), grams))
 
 
-@query("sequence_identity_join", """WITH b AS (SELECT md5(text) AS c, min(item_id) AS id, any_value(text) AS text FROM benchmark GROUP BY 1),
-k AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(text)-5+2), lambda i: substr(text, i, 5))) AS kmer FROM b),
-n AS (SELECT id, count(*) AS n FROM k GROUP BY 1)
-SELECT a, b, round(s::DOUBLE/least(x.n, y.n),6) AS identity FROM (SELECT l.id AS a, r.id AS b, count(*) AS s FROM k l JOIN k r USING (kmer)
+@query("sequence_identity_join", """WITH b AS (SELECT md5(text) AS c, min(doc_id) AS id, any_value(text) AS text FROM documents GROUP BY 1),
+g AS MATERIALIZED (SELECT DISTINCT id, unnest(list_transform(range(1, length(text)-8+2), lambda i: substr(text, i, 8))) AS gram FROM b),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT gram, row_number() OVER () AS code FROM g GROUP BY 1 HAVING count(*) > 1),
+k AS MATERIALIZED (SELECT id, code FROM g JOIN c USING (gram))
+SELECT a, b, round(s::DOUBLE/least(x.n, y.n),6) AS identity FROM (SELECT l.id AS a, r.id AS b, count(*) AS s FROM k l JOIN k r USING (code)
  WHERE l.id < r.id GROUP BY 1,2) JOIN n x ON x.id=a JOIN n y ON y.id=b WHERE s::DOUBLE/least(x.n,y.n) >= 0.3""")
 def _(t):
-    groups, _m = SIM.content_groups(t.benchmark, "item_id", F.md5("text"))
-    sets = (t.benchmark.select(F.col("item_id").alias("id"), char_kmers(F.col("text")).alias("bits"))
+    groups, _m = SIM.content_groups(t.documents, "doc_id", F.md5("text"))
+    sets = (spread(t.documents).select(F.col("doc_id").alias("id"), hashed(char_kmers(F.col("text"), 8)).alias("feats"))
             .join(groups, "id", "left_semi"))
-    return SIM.identity_join(sets, 0.30).withColumn("identity", F.round("identity", 6))
+    return overlap_join(cut_lineage(sets, "grams"), 0.3, CONTAINMENT, "identity").withColumn("identity", F.round("identity", 6))
 
 
 @query("target_relatedness", """WITH nm AS (SELECT DISTINCT p_name FROM part),
@@ -246,8 +254,8 @@ def _(t):
     names = t.part.select(F.col("p_name").alias("target")).distinct()
     words = F.split("target", " ")
     family = lineage_similarity(names.select("target", F.array(words[1], words[0]).alias("path")), 1, 2)
-    sets = names.select(F.col("target").alias("id"), char_kmers(F.col("target"), 3).alias("bits"))
-    by_text = SIM.identity_join(sets, 0.30).select(
+    sets = names.select(F.col("target").alias("id"), hashed(char_kmers(F.col("target"), 3)).alias("feats"))
+    by_text = overlap_join(sets, 0.30, CONTAINMENT, "identity").select(
         F.col("a").alias("t1"), F.col("b").alias("t2"), F.col("identity").alias("value"))
     return max_merge([family, by_text], names).withColumn("value", F.round("value", 6))
 
@@ -285,24 +293,22 @@ def landmark_distances(points, marks):
         *points.columns, F.transform("_marks", lambda m: V.euclidean(F.col("v"), m["v"])).alias("distances"))
 
 
-@query("pair_distance_matrix", """WITH d AS (SELECT x.vec_id AS a, y.vec_id AS b, list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d
- FROM embeddings x JOIN embeddings y ON x.label < 5 AND y.label >= 5)
+@query("pair_distance_matrix", f"""WITH m AS (SELECT vec_id, embedding FROM (SELECT *, {Q.position('vec_id', 'landmark')} AS p FROM embeddings WHERE label >= 5) WHERE p < {COLUMNS}),
+d AS (SELECT x.vec_id AS a, y.vec_id AS b, list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS d FROM embeddings x JOIN m y ON x.label < 5)
 SELECT a AS vec_id, string_agg(round_even(d*1e6,0)::BIGINT::VARCHAR, ',' ORDER BY b) AS distances FROM d GROUP BY a""")
 def _(t):
-    v = vectors(t).select(F.col("vec_id").alias("id"), F.col("v").alias("bits"), "label")
-    rows = SIM.distance_rows(v.filter("label < 5").select("id", "bits"), v.filter("label >= 5").select("id", "bits"))
-    rows = finite_rows(rows)
-    merged = rows.groupBy("id").agg(
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("columns", "sims")))).alias("cells"))
-    return merged.select(F.col("id").alias("vec_id"), micro(F.transform("cells", lambda c: c["sims"])).alias("distances"))
+    v = vectors(t)
+    marks = sample_n(v.filter("label >= 5").select("vec_id", "v"), "vec_id", COLUMNS, "landmark")
+    rows = finite_rows(landmark_distances(v.filter("label < 5").select("vec_id", "v"), marks))
+    return rows.select("vec_id", micro("distances").alias("distances"))
 
 
 def finite_rows(rows):
     """Entries that are no finite number become the largest finite one (1 if none)."""
     usable = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
-    top = rows.agg(F.coalesce(F.max(F.array_max(F.filter("sims", usable))), F.lit(1.0))).scalar()
+    top = rows.agg(F.coalesce(F.max(F.array_max(F.filter("distances", usable))), F.lit(1.0))).scalar()
     return rows.withColumn("_top", top).withColumn(
-        "sims", F.transform("sims", lambda x: F.when(usable(x), x).otherwise(F.col("_top")))).drop("_top")
+        "distances", F.transform("distances", lambda x: F.when(usable(x), x).otherwise(F.col("_top")))).drop("_top")
 
 
 # --- neighbours ---------------------------------------------------------------

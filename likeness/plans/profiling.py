@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from likeness.functions import fingerprints as FP
 from likeness.operators import lineage as L
 from likeness.operators import profiles as P
 from likeness.operators import splits as O
+from likeness.operators.groups import near_groups
 from likeness.operators.sampling import group_pairs, random_pairs
 from likeness.plans import sqlparts as Q
 from likeness.plans.base import (
     NATION_CALLS, PROFILES, SPARSE_CALLS, nation_calls, nation_profiles, nation_relatedness,
     nation_targets, sparse_calls,
 )
+from likeness.plans.likenesses import hashed
 from likeness.plans.registry import query
+from likeness.session import cut_lineage
+from likeness.sources.tables import spread
 
 r6 = lambda c: F.round(c, 6).alias(c)
 
@@ -185,26 +190,34 @@ def _(t):
 # --- splits -------------------------------------------------------------------
 
 
-def content_key(text):
-    """Texts that differ in numbers, case and white space only have one key; '' for NULL."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "#"), "[ \\n\\t\\r]+", " ")
-    return O.group_key(F.md5(plain))
+def plain_features(text):
+    """n-grams of a text without regard to numbers, case and white space, as hashes; none for NULL."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), "[0-9]+", "#")
+    return hashed(FP.features(FP.tokens(plain), "ngram2"))
 
 
-CONTENT_KEY = ("coalesce(md5(regexp_replace(regexp_replace(lower(text),'[0-9]+','#','g'),"
-               "'[ \\n\\t\\r]+',' ','g')),'')")
+NEAR = 0.8
+NEAR_GROUPS = f"""gt AS MATERIALIZED (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text,''),'[0-9]+','#','g')),
+ '[ \\n\\t\\r]+'), lambda x: x <> '') AS w FROM documents),
+{Q.features('gf', 'gt')}, {Q.close_pairs('gl', 'gf', NEAR)},
+reach AS (SELECT id AS a, id AS b FROM gt UNION SELECT reach.a, gl.b FROM reach JOIN gl ON gl.a = reach.b),
+none AS (SELECT min(id) AS grp FROM gt WHERE id NOT IN (SELECT id FROM gf)),
+dg AS MATERIALIZED (SELECT gt.id AS doc_id, coalesce(CASE WHEN gt.id NOT IN (SELECT id FROM gf) THEN none.grp END, r.grp) AS grp
+ FROM gt JOIN (SELECT a, min(b) AS grp FROM reach GROUP BY 1) r ON r.a = gt.id CROSS JOIN none)"""
 
 
 def docs_grouped(t):
-    return t.documents.select("doc_id", content_key(F.col("text")).alias("grp"))
+    """(doc_id, grp): texts linked by a similarity of NEAR, also through others, are one group."""
+    sets = cut_lineage(spread(t.documents).select(F.col("doc_id").alias("id"), plain_features(F.col("text")).alias("feats")), "plain")
+    return near_groups(sets, NEAR).select(F.col("id").alias("doc_id"), F.col("group").alias("grp"))
 
 
-@query("group_key", f"SELECT doc_id, {CONTENT_KEY} AS grp FROM documents")
+@query("group_key", f"WITH RECURSIVE {NEAR_GROUPS} SELECT doc_id, grp FROM dg")
 def _(t):
     return docs_grouped(t)
 
 
-DOC_SPLIT = f"""dg AS MATERIALIZED (SELECT doc_id, {CONTENT_KEY} AS grp FROM documents),
+DOC_SPLIT = f"""{NEAR_GROUPS},
 gs AS (SELECT grp, count(*) AS size FROM dg GROUP BY 1),
 cum AS (SELECT grp, coalesce(sum(size) OVER (ORDER BY md5(concat_ws('|',grp,'split')), grp
  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS before FROM gs),
@@ -212,16 +225,16 @@ sp AS (SELECT doc_id, grp, CASE WHEN before < floor((SELECT count(*) FROM docume
  FROM dg JOIN cum USING (grp))"""
 
 
-@query("group_disjoint_split", f"WITH {DOC_SPLIT} SELECT doc_id, grp, split FROM sp")
+@query("group_disjoint_split", f"WITH RECURSIVE {DOC_SPLIT} SELECT doc_id, grp, split FROM sp")
 def _(t):
-    return O.group_disjoint_split(docs_grouped(t), "grp").select(
+    return O.group_disjoint_split(cut_lineage(docs_grouped(t), "groups"), "grp").select(
         "doc_id", "grp", F.col("split").cast("long").alias("split"))
 
 
-@query("split_leak_audit", f"""WITH {DOC_SPLIT} SELECT count(*) FILTER (split=0) AS train, count(*) FILTER (split=1) AS test,
+@query("split_leak_audit", f"""WITH RECURSIVE {DOC_SPLIT} SELECT count(*) FILTER (split=0) AS train, count(*) FILTER (split=1) AS test,
  (SELECT count(*) FROM (SELECT grp FROM sp GROUP BY grp HAVING count(DISTINCT split) > 1)) AS leaking_groups FROM sp""")
 def _(t):
-    return O.split_audit(O.group_disjoint_split(docs_grouped(t), "grp"), "grp")
+    return O.split_audit(O.group_disjoint_split(cut_lineage(docs_grouped(t), "groups"), "grp"), "grp")
 
 
 @query("first_fit_split", """WITH RECURSIVE gs AS (SELECT o_custkey AS grp, count(*) AS size FROM orders GROUP BY 1),

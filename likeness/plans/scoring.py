@@ -18,6 +18,9 @@ from likeness.sources import results as R
 r6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 
 
+GUESSES = ["qty", "lines", "price", "const"]
+
+
 def predictions(t):
     """(task, method, id, y, pred): order totals guessed from the order's lines."""
     lines = t.lineitem.groupBy("l_orderkey").agg(
@@ -104,28 +107,30 @@ def _(t):
     return M.relative_error(predictions(t), ["task", "method"], "y", "pred").select("task", "method", *r6("rae"))
 
 
-@query("bootstrap_rae", f"""WITH {PRED}, ix AS (SELECT task, id, y, pred, {Q.position('id', 'boot', 'task')} AS idx, count(*) OVER (PARTITION BY task) AS n FROM pr WHERE method='price'),
-dr AS (SELECT task, rep, {Q.u32('task', 'rep', 'idx', seed='boot')} % n AS pick FROM ix, range(20) r(rep)),
-sm AS (SELECT d.task, rep, y, pred FROM dr d JOIN ix ON ix.task=d.task AND ix.idx=pick),
-mn AS (SELECT task, rep, avg(y) AS m FROM sm GROUP BY 1,2),
-ra AS (SELECT task, rep, avg(abs(y-pred))/avg(abs(y-m)) AS rae FROM sm JOIN mn USING (task, rep) GROUP BY 1,2)
-SELECT task, round(avg(rae),6) AS rae FROM ra GROUP BY 1""")
-def _(t):
-    p = predictions(t).filter("method = 'price'")
-    return BS.bootstrap_draws(p, ["task"], "id", "y", "pred", 20, "boot").select("task", *r6("rae"))
+REPLICATES = 1000
+_W = "CASE " + " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(BS.POISSON)) + f" ELSE {len(BS.POISSON)} END"
+BOOT = f"""bd AS (SELECT DISTINCT task, id, y FROM pr),
+bw AS (SELECT task, id, y, blk*8 + j AS rep, ('0x'||substr(h, 1 + 4*j, 4))::INT/65536.0::DOUBLE AS u
+ FROM (SELECT *, md5(concat_ws('|', task, id, blk, 'boot')) AS h FROM bd, range({REPLICATES // 8}) b(blk)), range(8) r(j)),
+w AS MATERIALIZED (SELECT task, id, y, rep::INT AS rep, ({_W})::UTINYINT AS w FROM bw WHERE u >= {BS.POISSON[0]!r}),
+mn AS (SELECT task, rep, sum(w*y)/sum(w) AS m FROM w GROUP BY 1,2),
+dn AS (SELECT task, rep, sum(w*abs(y-m)) AS den FROM w JOIN mn USING (task, rep) GROUP BY 1,2),
+nm AS (SELECT task, method, rep, sum(w*abs(w.y-pred)) AS num FROM w JOIN pr USING (task, id) GROUP BY 1,2,3),
+ra AS (SELECT task, method, num/nullif(den, 0) AS rae FROM nm JOIN dn USING (task, rep))"""
 
 
-_W = "CASE " + " ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(BS.POISSON)) + f" ELSE {len(BS.POISSON)} END"
+def bootstrapped(t):
+    return BS.bootstrap_errors(predictions(t), ["task"], "method", "id", "y", "pred", REPLICATES, "boot")
 
 
-@query("bootstrap_rae_poisson", f"""WITH {PRED}, w AS (SELECT task, rep, y, pred, {_W} AS w FROM
- (SELECT *, {Q.u32('task', 'id', 'rep', seed='pois')}/4294967296.0::DOUBLE AS u FROM pr, range(20) r(rep) WHERE method='price')),
-mn AS (SELECT task, rep, sum(w*y)/sum(w) AS m FROM w GROUP BY 1,2),
-ra AS (SELECT task, rep, sum(w*abs(y-pred))/sum(w*abs(y-m)) AS rae FROM w JOIN mn USING (task, rep) GROUP BY 1,2)
-SELECT task, round(avg(rae),6) AS rae FROM ra GROUP BY 1""")
+@query("bootstrap_rae", f"WITH {PRED}, {BOOT} SELECT task, method, round(avg(rae),6) AS rae FROM ra GROUP BY 1,2")
+def _(t):
+    return bootstrapped(t).select("task", "method", *r6("rae"))
+
+
+@query("bootstrap_rae_poisson", f"WITH {PRED}, {BOOT} SELECT task, method, round(avg(rae),6) AS rae, round(stddev_pop(rae),6) AS spread, count(rae) AS replicates FROM ra GROUP BY 1,2")
 def _(t):
-    p = predictions(t).filter("method = 'price'")
-    return BS.bootstrap_poisson(p, ["task"], "id", "y", "pred", 20, "pois").select("task", *r6("rae"))
+    return bootstrapped(t).select("task", "method", *r6("rae", "spread"), "replicates")
 
 
 # --- ranks of pair distances --------------------------------------------------
@@ -233,14 +238,13 @@ def _(t):
     return R.read_metrics_json(t.spark, path).withColumn("value", F.round("value", 5))
 
 
-WIDE = [f"{s}_{m}" for s in ("F", "O", "P") for m in ("mae", "pearson")]
+WIDE = [f"{s}_{m}" for s in ("F", "O", "P") for m in ("mae", "rmse", "pearson")]
 
 
-@query("sink_metrics_wide", f"WITH {ML}, g AS (SELECT method, suite||'_'||metric AS c, avg(value) AS v FROM ml WHERE metric<>'rmse' GROUP BY 1,2) SELECT method, "
+@query("sink_metrics_wide", f"WITH {ML}, g AS (SELECT method, suite||'_'||metric AS c, avg(value) AS v FROM ml GROUP BY 1,2) SELECT method, "
        + ", ".join(f"round(max(v) FILTER (c='{w}'),5) AS {w}" for w in WIDE) + " FROM g GROUP BY 1")
 def _(t):
-    per = (metrics_long(t).filter("metric <> 'rmse'")
-           .groupBy("method", F.concat_ws("_", "suite", "metric").alias("name")).agg(F.avg("value").alias("value")))
+    per = (metrics_long(t).groupBy("method", F.concat_ws("_", "suite", "metric").alias("name")).agg(F.avg("value").alias("value")))
     path = scratch_path(t.spark, "metrics-csv")
     R.metrics_wide(per, "name", WIDE).write.csv(path, header=True)
     schema = "method string, " + ", ".join(f"{w} double" for w in WIDE)
@@ -249,9 +253,9 @@ def _(t):
 
 
 @query("predictions_wide", f"WITH {PRED} SELECT task, id, y, " + ", ".join(
-    f"max(pred) FILTER (method='{m}') AS {m}" for m in ("qty", "lines", "price")) + " FROM pr GROUP BY 1,2,3")
+    f"max(pred) FILTER (method='{m}') AS {m}" for m in GUESSES) + " FROM pr GROUP BY 1,2,3")
 def _(t):
-    return R.predictions_wide(predictions(t), ["task", "id", "y"], ["qty", "lines", "price"])
+    return R.predictions_wide(predictions(t), ["task", "id", "y"], GUESSES)
 
 
 @query("resume_pending", """SELECT DISTINCT o_custkey, o_orderpriority FROM orders o WHERE NOT EXISTS

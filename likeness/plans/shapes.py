@@ -11,8 +11,9 @@ from likeness.operators.ordering import dense_index, value_ranks
 from likeness.plans.registry import query
 from likeness.session import cut_lineage
 
-TYPES = ["click", "view", "purchase", "signup"]  # error events are of no known type
-SETS = 2 * len(TYPES)  # each type before and after noon
+TYPES = ["click", "view", "purchase", "signup"]
+ALL_TYPES = [*TYPES, "error"]  # the last has no cost against the others, so clouds leave it out
+SETS, ALL_SETS = 2 * len(TYPES), 2 * len(ALL_TYPES)  # each type before and after noon
 # Mismatch of types: how far apart they lie on the way from looking to joining, as a
 # share of the whole way (view, click, purchase, signup).
 STAGE = {"view": 0, "click": 1, "purchase": 2, "signup": 3}
@@ -22,39 +23,37 @@ EPOCH = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
 
 def event_points(t):
     """(entity, id, type, s, x, y): hours since the epoch and the event's value."""
-    kind = F.when(F.col("event_type") == TYPES[0], 0)
-    for i, name in enumerate(TYPES[1:], 1):
+    kind = F.when(F.col("event_type") == ALL_TYPES[0], 0)
+    for i, name in enumerate(ALL_TYPES[1:], 1):
         kind = kind.when(F.col("event_type") == name, i)
     hours = F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, ts)") / 3.6e9
     return t.events.select(
         F.col("user_id").alias("entity"), F.col("event_id").alias("id"), F.col("event_type").alias("type"),
         (kind * 2 + F.when(F.hour("ts") >= 12, 1).otherwise(0)).alias("s"),
-        hours.alias("x"), F.col("value").alias("y")).filter("s IS NOT NULL")
+        hours.alias("x"), F.col("value").alias("y"))
 
 
 PTS = """pts AS (SELECT user_id AS entity, event_id AS id, event_type AS type,
- (CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 END)*2 + (hour(ts) >= 12)::INT AS s,
- (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))/3.6e9 AS x, value AS y FROM events WHERE event_type <> 'error')"""
+ (CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'error' THEN 4 END)*2 + (hour(ts) >= 12)::INT AS s,
+ (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))/3.6e9 AS x, value AS y FROM events)"""
+KNOWN = f"{PTS}, kn AS (SELECT * FROM pts WHERE s < {SETS})"
 
 
-@query("cloud_descriptors", f"""WITH {PTS}, n AS (SELECT entity, """ + ", ".join(f"count(*) FILTER (type='{v}') AS n_{v}" for v in TYPES)
+@query("cloud_descriptors", f"""WITH {PTS}, n AS (SELECT entity, """ + ", ".join(f"count(*) FILTER (type='{v}') AS n_{v}" for v in ALL_TYPES)
        + """, count(*) AS n FROM pts GROUP BY 1), d AS (SELECT a.entity, avg(abs(a.x-b.x)) AS mean, stddev_pop(abs(a.x-b.x)) AS std, max(abs(a.x-b.x)) AS highest
  FROM pts a JOIN pts b ON a.entity=b.entity AND a.id < b.id GROUP BY 1)
 SELECT n.*, round(coalesce(mean,0),5) AS mean, round(coalesce(std,0),5) AS std, round(coalesce(highest,0),5) AS highest FROM n LEFT JOIN d USING (entity)""")
 def _(t):
-    d = C.cloud_descriptors(event_points(t), TYPES)
+    d = C.cloud_descriptors(event_points(t), ALL_TYPES)
     return d.withColumns({c: F.round(c, 5) for c in ("mean", "std", "highest")})
 
 
 def metric_points(t):
-    """The same sets on three lines: time, rank in time and value."""
+    """(entity, metric, s, x): the same sets on three lines, which are time, rank in time and value."""
     p = event_points(t)
     rank = value_ranks(p, ["entity"], "x").select("entity", "x", F.col("before").cast("double").alias("r"))
-    return {
-        "time": p.select("entity", "s", "x"),
-        "rank": p.join(rank, ["entity", "x"]).select("entity", "s", F.col("r").alias("x")),
-        "value": p.select("entity", "s", F.col("y").alias("x")),
-    }
+    lines = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).alias("x")) for m, c in (("time", "x"), ("rank", "r"), ("value", "y"))])
+    return p.join(rank, ["entity", "x"]).select("entity", "s", lines.alias("lines")).select("entity", "s", F.inline("lines"))
 
 
 @query("feature_distance", f"""WITH {PTS}, q AS (SELECT *, (rank() OVER (PARTITION BY entity ORDER BY x) - 1)::DOUBLE AS r FROM pts),
@@ -62,21 +61,19 @@ m AS (SELECT entity, s, 'time' AS metric, x AS v FROM q UNION ALL SELECT entity,
 SELECT a.entity, a.metric, a.s::BIGINT AS i, b.s::BIGINT AS j, round(avg(abs(a.v-b.v))+1e-9,5) AS distance FROM m a JOIN m b
  ON a.entity=b.entity AND a.metric=b.metric AND a.s < b.s GROUP BY 1,2,3,4""")
 def _(t):
-    out = None
-    for name, points in metric_points(t).items():
-        d = C.set_distances(points, SETS).select(
-            "entity", F.lit(name).alias("metric"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
-            F.round(F.col("distance") + 1e-9, 5).alias("distance"))  # off the exact ties of rounding
-        out = d if out is None else out.unionByName(d)
-    return out
+    lines = metric_points(t).withColumn("entity", F.struct("entity", "metric")).drop("metric")
+    return C.set_distances(lines, ALL_SETS).select(
+        "entity.*", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
+        F.round(F.col("distance") + 1e-9, 5).alias("distance"))  # off the exact ties of rounding
 
 
 def event_clouds(t, points=None):
-    return C.build_clouds(points if points is not None else event_points(t), SETS, lambda s: F.floor(s / 2).cast("int"))
+    points = event_points(t) if points is None else points
+    return C.build_clouds(points.filter(F.col("s") < SETS), SETS, lambda s: F.floor(s / 2).cast("int"))
 
 
-@query("build_clouds", f"""WITH {PTS}, o AS (SELECT entity, s, count(*) AS c FROM pts GROUP BY 1,2),
-d AS (SELECT a.entity, a.s AS i, b.s AS j, avg(abs(a.x-b.x)) AS d FROM pts a JOIN pts b ON a.entity=b.entity AND a.s<>b.s GROUP BY 1,2,3),
+@query("build_clouds", f"""WITH {KNOWN}, o AS (SELECT entity, s, count(*) AS c FROM kn GROUP BY 1,2),
+d AS (SELECT a.entity, a.s AS i, b.s AS j, avg(abs(a.x-b.x)) AS d FROM kn a JOIN kn b ON a.entity=b.entity AND a.s<>b.s GROUP BY 1,2,3),
 ds AS (SELECT entity, sum(d) AS total FROM d GROUP BY 1)
 SELECT o.entity, count(*) AS points, string_agg((s//2)::VARCHAR, ',' ORDER BY s) AS types, round(1.0::DOUBLE/count(*),6) AS weight, round(coalesce(any_value(total),0.0),4) AS total
 FROM o LEFT JOIN ds USING (entity) GROUP BY 1""")
@@ -124,7 +121,7 @@ def _(t):
     return T.fgw_plans(ring(clouds), clouds, TYPE_COST)
 
 
-@query("fgw_plan_marginals", f"""WITH {PTS}, o AS (SELECT DISTINCT entity, s FROM pts),
+@query("fgw_plan_marginals", f"""WITH {KNOWN}, o AS (SELECT DISTINCT entity, s FROM kn),
 p AS (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY s) - 1 AS position, round(1.0::DOUBLE / count(*) OVER (PARTITION BY entity), 9) AS mass FROM o)
 SELECT side, entity, position, mass FROM p, (VALUES ('a'), ('b')) v(side)""")
 def _(t):
@@ -142,7 +139,9 @@ def _(t):
     """Spearman of cost against the gap in mean value, by alpha and by metric."""
     level = event_points(t).groupBy("entity").agg(F.avg("y").alias("level"))
     out = None
-    for name, points in metric_points(t).items():
+    lines = cut_lineage(metric_points(t), "lines")
+    for name in ("time", "rank", "value"):
+        points = lines.filter(F.col("metric") == name).drop("metric")
         clouds = cut_lineage(event_clouds(t, points), f"clouds-{name}")
         alphas = F.array(*[F.lit(a) for a in ((0.0, 0.25, 0.5, 0.75, 1.0) if name == "time" else (0.5,))])
         pairs = ring(clouds).select("a", "b", F.explode(alphas).alias("alpha"), F.lit(name).alias("metric"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 
-def u32(*parts: str, seed: str) -> str:
+def draw(*parts: str, seed: str) -> str:
     args = ", ".join([*parts, f"'{seed}'"])
-    return f"(('0x'||substr(md5(concat_ws('|', {args})),1,8))::BIGINT)"
+    return f"(('0x'||substr(md5(concat_ws('|', {args})),1,15))::BIGINT)"
 
 
 def position(key: str, seed: str, partition: str = "") -> str:
@@ -16,17 +16,17 @@ def position(key: str, seed: str, partition: str = "") -> str:
 def random_pairs(name: str, source: str, key: str, per: int, seed: str) -> str:
     return f"""{name}_idx AS (SELECT {key}, {position(key, seed)} AS idx, count(*) OVER () AS n FROM {source}),
 {name}_d AS (SELECT n, idx*{per} + j AS draw FROM {name}_idx, range({per}) r(j)),
-{name}_lr AS (SELECT draw, {u32('draw', seed=seed + 'L')} % n AS l, {u32('draw', seed=seed + 'R')} % n AS r FROM {name}_d),
+{name}_lr AS (SELECT draw, {draw('draw', seed=seed + 'L')} % n AS l, {draw('draw', seed=seed + 'R')} % n AS r FROM {name}_d),
 {name} AS (SELECT draw, x.{key} AS a, y.{key} AS b FROM {name}_lr JOIN {name}_idx x ON x.idx=l
  JOIN {name}_idx y ON y.idx=r WHERE l <> r)"""
 
 
 def group_pairs(name: str, source: str, group: str, key: str, seed: str, per_member: int = 2) -> str:
-    return f"""{name}_idx AS (SELECT {group}, {key}, {position(key, seed, group)} AS idx FROM {source}),
+    return f"""{name}_idx AS MATERIALIZED (SELECT {group}, {key}, {position(key, seed, group)} AS idx FROM {source}),
 {name}_g AS (SELECT {group}, count(*) AS n FROM {source} GROUP BY {group} HAVING count(*) >= 2),
-{name}_d AS (SELECT {group}, n, unnest(range({per_member}*n)) AS draw FROM {name}_g),
-{name}_lr AS (SELECT {group}, draw, {u32(group, 'draw', seed=seed + 'L')} % n AS l,
- {u32(group, 'draw', seed=seed + 'R')} % n AS r FROM {name}_d),
+{name}_d AS MATERIALIZED (SELECT {group}, n, unnest(range({per_member}*n)) AS draw FROM {name}_g),
+{name}_lr AS MATERIALIZED (SELECT {group}, draw, {draw(group, 'draw', seed=seed + 'L')} % n AS l,
+ {draw(group, 'draw', seed=seed + 'R')} % n AS r FROM {name}_d),
 {name} AS (SELECT d.{group}, draw, x.{key} AS a, y.{key} AS b FROM {name}_lr d
  JOIN {name}_idx x ON x.{group}=d.{group} AND x.idx=l JOIN {name}_idx y ON y.{group}=d.{group} AND y.idx=r WHERE l <> r)"""
 
@@ -86,6 +86,22 @@ def fp(name: str, tok: str, kind: str = "ngram2", distinct: bool = True) -> str:
             f"WINDOW o AS (PARTITION BY id ORDER BY p)) WHERE f IS NOT NULL)")
 
 
+def features(name: str, tok: str, kind: str = "ngram2") -> str:
+    """Distinct unfolded features: (id, f)."""
+    feats, words = feature_rows(kind)
+    return (f"{name} AS MATERIALIZED (SELECT DISTINCT id, f FROM (SELECT id, unnest({feats}) AS f FROM (SELECT id, unnest({words}) AS x, "
+            f"generate_subscripts(w,1) AS p FROM {tok}) WINDOW o AS (PARTITION BY id ORDER BY p)) WHERE f IS NOT NULL)")
+
+
+def close_pairs(name: str, feats: str, floor: float) -> str:
+    """All pairs with a Tanimoto similarity of at least ``floor``, both ways round: (a, b, sim)."""
+    return f"""{name}_n AS (SELECT id, count(*) AS n FROM {feats} GROUP BY 1),
+{name}_c AS (SELECT f, row_number() OVER () AS code FROM {feats} GROUP BY f HAVING count(*) > 1),
+{name}_k AS MATERIALIZED (SELECT id, code FROM {feats} JOIN {name}_c USING (f)),
+{name} AS MATERIALIZED (SELECT a, b, s::DOUBLE/(x.n+y.n-s) AS sim FROM (SELECT l.id AS a, r.id AS b, count(*) AS s FROM {name}_k l
+ JOIN {name}_k r USING (code) WHERE l.id <> r.id GROUP BY 1,2) JOIN {name}_n x ON x.id=a JOIN {name}_n y ON y.id=b WHERE s::DOUBLE/(x.n+y.n-s) >= {floor})"""
+
+
 def tanimoto_all(name: str, left: str, right: str) -> str:
     """All pairs with at least one shared position: (a, b, sim)."""
     return f"""{name}_na AS (SELECT id, count(*) AS n FROM {left} GROUP BY 1),

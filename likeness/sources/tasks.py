@@ -46,9 +46,9 @@ def read_split(spark: SparkSession, path: str) -> DataFrame:
 
 
 def index_split(data: DataFrame, split: DataFrame, min_train: int = 30, min_test: int = 20) -> DataFrame:
-    """Rows with a target, labelled by the split; tasks that are too small are left out."""
+    """Rows with a target, labelled by the split; ``skipped`` marks the rows of tasks too small to score."""
     usable = data.withColumn("y", finite("y")).filter("y IS NOT NULL").join(split, ["task", "row_id"])
     sizes = usable.groupBy("task").agg(
         F.count_if(F.col("split") == "train").alias("_train"), F.count_if(F.col("split") == "test").alias("_test"))
-    large = sizes.filter((F.col("_train") >= min_train) & (F.col("_test") >= min_test))
-    return usable.join(large, "task", "left_semi")
+    small = (F.col("_train") < min_train) | (F.col("_test") < min_test)
+    return usable.join(sizes.select("task", small.alias("skipped")), "task")

@@ -166,13 +166,6 @@ def test_threshold_join_is_exact(prints):
     assert sorted((r["a"], r["b"]) for r in SIM.tanimoto_join(df, 0.35).collect()) == want
 
 
-def test_identity_join_is_exact(prints):
-    df, sets = prints
-    share = lambda a, b: len(set(a) & set(b)) / min(len(a), len(b)) if a and b else 0.0
-    want = sorted((a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if share(sets[a], sets[b]) >= 0.5)
-    assert sorted((r["a"], r["b"]) for r in SIM.identity_join(df, 0.5).collect()) == want
-
-
 def test_short_and_empty_texts(spark):
     df = frame(spark, [(1, ""), (2, " \n"), (3, "One"), (4, "one ONE one")], "id long, text string")
     for kind in ("ngram2", "ngram3", "class", "path", "pair", "quad"):
