@@ -228,7 +228,7 @@ def _marked(ws: Workspace, rows: DataFrame, similarity: float, bits: int, blocks
     pairs = ws.write(_of_near_fingerprints(ws, classes, bits, blocks), "pairs")
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
     keys = ws.write(classes.join(wanted, "cid").select("cid", "k1", "k2"), "keys")
-    hints = docs.sparkSession.sparkContext.broadcast(_wanted_bits(keys))
+    hints = ws.spark.sparkContext.broadcast(_wanted_bits(keys))
     found = rows.select("text").mapInArrow(_texts(hints), "k1 long, k2 long, line string").join(keys, ["k1", "k2"]).groupBy(
         "cid").agg(F.min("line").alias("line"))
     texts = ws.write(found, "texts")
