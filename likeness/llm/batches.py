@@ -19,3 +19,9 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
             stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Give back what Arrow holds for later: the worker goes on to tasks of other queries."""
+    pa.default_memory_pool().release_unused()

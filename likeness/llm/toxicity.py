@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from likeness.llm.batches import release
+
 WORD = re.compile(rb"[a-z\x80-\xff']+")
 #: Letters (bytes) in the word beginnings that count as features.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -159,6 +161,7 @@ def _featurise(bits: int):
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("member", "toxic", "doc_id")), pa.array(found, pa.binary())],
                 ["member", "toxic", "doc_id", "features"])
+        release()
 
     return fold
 
@@ -204,6 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
         toxic = pdf.toxic.to_numpy()
         found = [[np.frombuffer(pdf.features.iat[i], "<i4") for i in order if toxic[i] == y] for y in (1, 0)]
         used, w, b = train(*found, prior, s)
+        del found
+        release()
         return pd.DataFrame({"feature": [-1, *used.tolist()], "weight": [b, *w.tolist()]})
 
     mean = rows.groupBy("member").applyInPandas(learn, "feature long, weight double").groupBy("feature").agg(
