@@ -26,7 +26,7 @@ from likeness.llm.tokens import WORD_BPE, word_encoder
 #: Tokens in a sequence and the id after each document.
 SEQUENCE, END_ID = 2048, 1
 #: Bytes of text whose pieces leave a task together.
-AT_ONCE = 8 << 20
+AT_ONCE = 3 << 20
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

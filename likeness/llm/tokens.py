@@ -24,7 +24,7 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Words in one of the two generations that a worker remembers, and the longest one.
 REMEMBERED, LONGEST = 300_000, 64
 #: Bytes of text whose new words go to the library together.
-TOGETHER = 8 << 20
+TOGETHER = 3 << 20
 STOPS = b".,;:!?"
 
 

@@ -28,7 +28,7 @@ from likeness.session import scratch_path
 #: Id appended to each document.
 END_ID = 1
 #: Bytes of text that are encoded at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 3 << 20
 #: Tokens after which a task closes a shard (at the end of a document).
 SHARD_TOKENS = 1 << 20
 #: Bits between two stored counts of ones.
