@@ -94,6 +94,7 @@ class PieceEncoder:
         self._by_chunk = not any(mark in p.piece.lstrip(mark) for p in model.pieces)
         #: Bytes of normalised text that a piece stands for; byte pieces stand for one.
         self._wide = np.asarray([1 if self.plain.is_byte(i) else len(self.plain.id_to_piece(i).encode()) for i in range(size)])
+        self._unknown = self.plain.unk_id()
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
 
@@ -146,7 +147,10 @@ class PieceEncoder:
             look = self._known.__getitem__
             for (_, origin), own in zip(normal, chunks):
                 ids = np.frombuffer(b"".join(map(look, own)), "<u4")
-                bounds = np.concatenate([[0], np.cumsum(self._wide[ids])])
+                wide = self._wide[ids]
+                if (ids == self._unknown).any():  # of any width; only where a model has no byte pieces
+                    wide = np.concatenate([self._widths(c) for c in own])
+                bounds = np.concatenate([[0], np.cumsum(wide)])
                 yield ids, np.stack([origin[bounds[:-1]], origin[bounds[1:]]], 1)
             for chunk in every:
                 if len(chunk) > LONGEST:
@@ -154,6 +158,11 @@ class PieceEncoder:
             if len(self._known) > REMEMBERED:
                 self._known, self._older = {}, self._known
 
+    def _widths(self, chunk: bytes) -> list[int]:
+        """Bytes of normalised text of each piece, as the library gives them."""
+        found = self.plain.encode(chunk.decode("utf-8", "replace"), out_type="proto")
+        return [len(p.surface.encode()) for p in found.pieces]
+
     def _learn(self, chunks: set[bytes]) -> None:
         new = [c for c in chunks if c not in self._known]
         self._known.update((c, self._older[c]) for c in new if c in self._older)

@@ -164,6 +164,31 @@ def test_character_map(rule):
             assert [tuple(s) for s in spans.tolist()] == [(p.begin, p.end) for p in proto.pieces], text
 
 
+def test_unknown_pieces():
+    """A model without byte pieces: unknown pieces are as wide as what they stand for."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    base = pb.ModelProto()
+    with open(pieces.PIECE_BPE, "rb") as f:
+        base.ParseFromString(f.read())
+    base.trainer_spec.byte_fallback = False
+    for p in base.pieces:
+        if p.type == pb.ModelProto.SentencePiece.BYTE:
+            p.type = pb.ModelProto.SentencePiece.UNUSED
+    encoder = pieces.PieceEncoder(proto=base.SerializeToString())
+    seen = 0
+    for text in ("hello 𐍈 world", "𐍈𐍉𐍈 world", "a𐍈b𐍉 c 𐍈", "𐍈", "plain words", ""):
+        proto = encoder.library.encode(text, out_type="proto")
+        (ids, spans), = encoder.encode([text.encode()])
+        assert ids.tolist() == [p.id for p in proto.pieces], text
+        # The library counts characters.
+        want = [(len(text[:p.begin].encode()), len(text[:p.end].encode())) for p in proto.pieces]
+        bytes_of = [(p.begin, p.end) for p in proto.pieces]
+        assert [tuple(s) for s in spans.tolist()] in (want, bytes_of), (text, spans.tolist(), want)
+        seen += int((ids == encoder.library.unk_id()).sum())
+    assert seen >= 5
+
+
 def test_length_report(spark, case):
     rows, df = case
     counts = lengths.token_counts(df)
@@ -381,6 +406,43 @@ def test_toxicity(spark):
     assert toxicity.scored(df.limit(0), known).count() == 0
 
 
+def plain_risk(weights, bias, positive, unlabelled, prior):
+    """The non-negative risk on a dense table: prior * E+[l(s)] + max(0, Eu[l(-s)] - prior * E+[l(-s)])."""
+    score = lambda rows: np.asarray([sum(weights.get(f, 0.0) for f in set(r.tolist())) + bias for r in rows])
+    p, u = score(positive), score(unlabelled)
+    loss = lambda s: np.logaddexp(0, -s)
+    return prior * loss(p).mean() + max(0.0, loss(-u).mean() - prior * loss(-p).mean())
+
+
+def test_training_finds_the_least_risk():
+    gen = np.random.default_rng(0)
+    rows = lambda n, share: [np.asarray([f for f in range(12) if gen.random() < (0.8 if f < 4 and gen.random() < share else 0.2)], "<i4")
+                             for _ in range(n)]
+    positive, unlabelled, prior = rows(300, 1.0), rows(300, 1.0) + rows(700, 0.0), 0.3
+    settings = toxicity.Settings(bits=6, steps=12000, rate=0.1, decay=0.0, least_errors=0.5)
+    used, weights, bias = toxicity.train(positive, unlabelled, prior, settings)
+    found = dict(zip(used.tolist(), weights.tolist()))
+    least = plain_risk(found, bias, positive, unlabelled, prior)
+    assert set(range(4)) <= set(found) and least < plain_risk({}, float(np.log(prior / (1 - prior))), positive, unlabelled, prior) - 0.05
+    for f in [*found, None]:  # central differences: the slope is nearly flat in every direction
+        up, down = dict(found), dict(found)
+        if f is not None:
+            up[f], down[f] = up[f] + 1e-4, down[f] - 1e-4
+        step = 1e-4 if f is None else 0.0
+        slope = (plain_risk(up, bias + step, positive, unlabelled, prior) - plain_risk(down, bias - step, positive, unlabelled, prior)) / 2e-4
+        assert abs(slope) < 5e-3, (f, slope)
+
+
+def test_repeated_ids_are_drawn_once(spark):
+    """Eight thousand rows of one id leave the draw to the others."""
+    rows = [(1, "same text of one id")] * 8000 + [(i, f"clean words number {i}") for i in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(2, 300)], "doc_id long, toxic int")
+    kept = docs.select("doc_id").filter(~toxicity.held_out("doc_id", 5)).distinct()
+    assert toxicity._draw(kept, 0, 6000).count() == kept.count() > 200
+    assert toxicity.scored(docs, labels, toxicity.Settings(members=1, steps=5)).count() == len(rows)
+
+
 def test_toxicity_of_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     got = QUERIES["op1_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").toPandas()
