@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from likeness.session import cut_lineage
 
 #: Ratio of the sizes at a size band's ends.
-BAND = 1.5
+BAND = 2.0
 #: Rare features by which first neighbours are sought, and places looked at beside each.
-SEED_FEATURES, SEED_PLACES = 4, 4
+SEED_FEATURES, SEED_PLACES = 2, 3
 #: Meetings among the rare features that make a candidate, where the overlap has as many.
 MEETINGS = 16
 _SLACK = 1e-9  # products of a bound and a size that should be whole

@@ -205,14 +205,13 @@ def _(t):
 DEDUP = """cg AS (SELECT md5(text) AS content, min(doc_id) AS id, count(*) AS copies FROM documents GROUP BY 1)"""
 
 
-@query("tanimoto_threshold_join", f"""WITH {Q.doc_tokens()}, {Q.fp('fpa', 'tok')}, {DEDUP},
-fp AS MATERIALIZED (SELECT fpa.id, bit FROM fpa JOIN cg USING (id)), {Q.tanimoto_all('ts', 'fp', 'fp')}
+@query("tanimoto_threshold_join", f"""WITH {Q.doc_tokens()}, {DEDUP}, own AS (SELECT tok.* FROM tok JOIN cg USING (id)), {Q.features('ff', 'own')}, {Q.close_pairs('ts', 'ff', 0.6)}
 SELECT a, b, round(sim,6) AS sim, (x.copies*y.copies)::BIGINT AS pairs FROM ts JOIN cg x ON x.id=a JOIN cg y ON y.id=b
-WHERE a < b AND sim >= 0.6""")
+WHERE a < b""")
 def _(t):
     groups, _members = SIM.content_groups(t.documents, "doc_id", F.md5("text"))
-    prints = cut_lineage(doc_prints(t).join(groups, "id", "left_semi"), "prints")
-    found = SIM.tanimoto_join(prints, 0.6)
+    groups = cut_lineage(groups, "groups")
+    found = overlap_join(cut_lineage(doc_features(t).join(groups, "id", "left_semi"), "features"), 0.6)
     copies = groups.select("id", "copies")
     return (found.join(copies.toDF("a", "ca"), "a").join(copies.toDF("b", "cb"), "b")
             .select("a", "b", F.round("sim", 6).alias("sim"), (F.col("ca") * F.col("cb")).alias("pairs")))
