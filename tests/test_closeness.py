@@ -83,3 +83,17 @@ def test_bounds_save_candidates(spark):
 
 def test_identities_of_documents(spark):
     assert QUERIES["sequence_identity_join"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_near_copies_are_not_all_their_pairs(spark):
+    """A group of near copies is held together by links in proportion to its members."""
+    from likeness.operators.groups import near_groups
+
+    rows = [(i, [*range(200), 1000 + i]) for i in range(120)] + [(500 + i, [*range(300, 340), 2000 + i]) for i in range(3)] + [(900, []), (901, [])]
+    got = {r["id"]: r["group"] for r in near_groups(frame(spark, rows), 0.8).collect()}
+    assert got == {i: 0 for i in range(120)} | {500 + i: 500 for i in range(3)} | {900: 900, 901: 900}
+    ranked = C.ranked_sets(frame(spark, rows))
+    every = C.candidates(ranked, 0.8, 0.8, C.TANIMOTO_OF_LARGER)
+    assert every.count() == 120 * 119 // 2 + 3
+    groups = ranked.select("id", F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("group"))
+    assert C.candidates(ranked, 0.8, 0.8, C.TANIMOTO_OF_LARGER, groups).count() == 3
