@@ -210,3 +210,29 @@ def test_few_exchanges(spark):
     assert exchanges(P.cosine_of_pairs(pairs, profiles)) <= 8
     got = {(r["a"], r["b"]): r["raw"] for r in P.cosine_of_pairs(pairs, profiles).collect()}
     assert got[3, 77] == 0.0 and 0 < got[1, 2] <= 1
+
+
+@pytest.mark.parametrize("rows, columns", [(3, 2), (64, 1000)])
+def test_matrices_are_whole(spark, rows, columns):
+    """Each row has an entry for every column, in order of id, whatever the blocks."""
+    import math
+
+    from likeness.operators import similarity as SIM
+    from likeness.plans.likenesses import finite_rows
+
+    left = [(i, [float(i), 1.0]) for i in range(7)] + [(8, [float("inf"), 0.0])]
+    right = [(10 - i, [0.5 * i, 3.0]) for i in range(9)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, bits array<double>").repartition(3)
+    made = SIM.matrix_rows(frame(left), frame(right), SIM.euclidean_distances, row_block=rows, column_block=columns)
+    got = {r["id"]: r["distances"] for r in finite_rows(made).collect()}
+    gaps = {i: [math.dist(v, w) for _, w in sorted(right)] for i, v in left}
+    top = max(g for i, gap in gaps.items() for g in gap if math.isfinite(g))
+    assert got == {i: ",".join(str(round((g if math.isfinite(g) else top) * 1e6)) for g in gap) for i, gap in gaps.items()}
+
+
+def test_matrix_queries_have_all_columns(spark):
+    from likeness.plans import catalogue
+
+    first = catalogue.QUERIES["tanimoto_matrix"](spark, "/root/testdata/sf0.001").selectExpr("size(split(distances, ','))").distinct().collect()
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+    assert [r[0] for r in first] == [items]
