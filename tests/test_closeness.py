@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from likeness.operators import closeness as C
+from likeness.plans.registry import Tables
 
 QUERIES = entry.queries()
 
@@ -97,3 +98,25 @@ def test_near_copies_are_not_all_their_pairs(spark):
     assert every.count() == 120 * 119 // 2 + 3
     groups = ranked.select("id", F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("group"))
     assert C.candidates(ranked, 0.8, 0.8, C.TANIMOTO_OF_LARGER, groups).count() == 3
+
+
+def test_neighbours_without_a_floor(spark):
+    """However far they are, each record has its k nearest among those that share a feature."""
+    from likeness.plans.evaluation import ANY
+
+    rows = [(i, [i, i + 1, 1000, 2000 + i, 3000 + i, 4000 + i]) for i in range(12)]
+    got = C.near_records(frame(spark, rows), 4, ANY, 0.999).groupBy("a").count().collect()
+    assert [r["count"] for r in got] == [4] * 12
+    want = {a: sorted(((-tanimoto(set(x), set(y)), b) for b, y in rows if b != a))[:4] for a, x in rows}
+    found = C.near_records(frame(spark, rows), 4, ANY, 0.999).collect()
+    assert {(r["a"], r["b"]) for r in found} == {(a, b) for a, near in want.items() for _, b in near}
+
+
+def test_teacher_pairs_have_far_neighbours(spark):
+    """Parts have structural neighbours below the similarity that counts as close."""
+    from likeness.plans.base import CLOSE
+    from likeness.plans.evaluation import ANY, Study
+
+    study = Study(Tables(spark, "/root/testdata/sf0.001"))
+    of = lambda floor: study.drawn(floor).filter("source = 'structural'").count()
+    assert of(ANY) > of(CLOSE)
