@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,3 +26,16 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
 def release() -> None:
     """Give back what Arrow holds for later: the worker goes on to tasks of other queries."""
     pa.default_memory_pool().release_unused()
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]):
+    """What a worker remembers from task to task, one thing at a time: that of the operator before is dropped."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -9,7 +9,6 @@ is given to the library once and then remembered.
 
 from __future__ import annotations
 
-import functools
 import os
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -19,6 +18,8 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from likeness.llm.batches import kept
+
 #: The file of the word tokenizer; any other place can be given.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: Words in one of the two generations that a worker remembers, and the longest one.
@@ -167,7 +168,6 @@ def _composed(word: str) -> bool:
     return word.isalpha() and unicodedata.is_normalized("NFC", word)
 
 
-@functools.lru_cache(maxsize=4)
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each file and Python worker."""
-    return WordEncoder(path)
+    """The Python worker's encoder, until it turns to something else."""
+    return kept(("words", path), lambda: WordEncoder(path))

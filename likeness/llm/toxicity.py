@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likeness.llm.batches import release
+from likeness.llm.batches import kept, release
 
 WORD = re.compile(rb"[a-z\x80-\xff']+")
 #: Letters (bytes) in the word beginnings that count as features.
@@ -155,7 +155,7 @@ def _draw(ids: DataFrame, member: int, n: int) -> DataFrame:
 
 def _featurise(bits: int):
     def fold(batches):
-        table = WordTable(lambda w: features(w, bits))
+        table = kept(("features", bits), lambda: WordTable(lambda w: features(w, bits)))
         for batch in batches:
             found = [text_features(t, table).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -217,16 +217,10 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     return Model(s.bits, weights, weights.pop(-1, float(np.log(prior / (1 - prior)))))
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
 def _weights(model_id: str, model: Model) -> WordTable:
     """The worker's one table of word weights, that of the model it scores with now."""
-    if model_id not in _TABLES:
-        _TABLES.clear()
-        weight = model.weights.get
-        _TABLES[model_id] = WordTable(lambda w: math.fsum(weight(f, 0.0) for f in features(w, model.bits)))
-    return _TABLES[model_id]
+    weight = model.weights.get
+    return kept(("weights", model_id), lambda: WordTable(lambda w: math.fsum(weight(f, 0.0) for f in features(w, model.bits))))
 
 
 def scorer(spark, model: Model):

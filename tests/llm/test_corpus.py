@@ -490,3 +490,20 @@ def test_pipeline_query(spark):
         docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), docs.schema)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     check_packing(rows, QUERIES["pipeline"](spark, FOLDER).collect(), 2048)
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """What the tokenizer remembers is dropped when the worker turns to scores, and the other way round."""
+    import gc
+    import weakref
+
+    from likeness.llm import batches, tokens, toxicity
+
+    encoder = tokens.word_encoder(tokens.WORD_BPE)
+    assert tokens.word_encoder(tokens.WORD_BPE) is encoder
+    held = weakref.ref(encoder)
+    del encoder
+    table = toxicity._weights("m", toxicity.Model(4, {1: 0.5}, 0.0))
+    gc.collect()
+    assert held() is None and toxicity._weights("m", toxicity.Model(4, {1: 0.5}, 0.0)) is table
+    assert len(batches._KEPT) == 1
