@@ -120,3 +120,21 @@ def test_teacher_pairs_have_far_neighbours(spark):
     study = Study(Tables(spark, "/root/testdata/sf0.001"))
     of = lambda floor: study.drawn(floor).filter("source = 'structural'").count()
     assert of(ANY) > of(CLOSE)
+
+
+def test_blocks_travel_as_bitmaps(spark):
+    """What a record is copied as has one size, and neighbours are sought once."""
+    from likeness.operators.neighbours import weighted_profiles
+    from likeness.operators.similarity import _matrix, nearest, packed
+
+    prints = spark.createDataFrame([(1, [0, 7, 2047]), (2, []), (3, None), (4, list(range(2048)))], "id long, bits array<int>")
+    rows = packed(prints).orderBy("id").toPandas()
+    assert rows["bits"].map(len).tolist() == [256] * 4
+    assert _matrix(rows["bits"]).sum(1).tolist() == [3, 0, 0, 2048]
+    assert _matrix(rows["bits"])[0].nonzero()[0].tolist() == [0, 7, 2047]
+    some = prints.filter("bits IS NOT NULL")
+    profiles = spark.createDataFrame([(4, "x", 0.5)], "entity long, target string, value double")
+    found = weighted_profiles(nearest(some, some, 2, 0.999), profiles)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1
+    assert [tuple(r) for r in found.collect()] == [(1, "x", 0.5)]
