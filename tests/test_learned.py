@@ -116,3 +116,18 @@ def test_pair_metric_beats_cosine(spark):
     truth = rank((told[a] * told[b]).sum(1))
     learned = np.corrcoef(rank(cosine(x[a] @ p, x[b] @ p)), truth)[0, 1]
     assert learned > 0.9 and learned > np.corrcoef(rank((x[a] * x[b]).sum(1)), truth)[0, 1] + 0.1
+
+
+def test_folded_counts(spark):
+    """Each position is counted once, and the fingerprint isn't made anew for every slot."""
+    from likeness.functions import fingerprints as FP
+    from likeness.plans.modelling import folded
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "a b c a"), (2, ""), (3, None)], "id long, text string")
+    prints = rows.select("id", FP.bits(FP.tokens(F.col("text"))).alias("bits"))
+    out = folded(prints, 16)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("md5") == 1
+    assert "filter(transform" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {r["id"]: np.bincount(np.asarray(r["bits"] or [], int) % 16, minlength=16).tolist() for r in prints.collect()}
+    assert {r["id"]: r["counts"] for r in out.collect()} == want
