@@ -36,6 +36,8 @@ BITS, BLOCKS = 3, 5
 SIMILARITY = 0.8
 #: Bytes of text whose words are counted at once; words added up in one byte for each bit.
 AT_ONCE, LANE = 4 << 20, 255
+#: Characters of a line up to which Spark measures the edit distance itself.
+LONG = 4096
 #: Fingerprints of one bucket that are compared at once.
 ROWS = 2048
 #: Bits of a key that say, before the exact join, whether its line may be wanted; bytes of one of Spark's bitmaps.
@@ -234,7 +236,7 @@ def _marked(ws: Workspace, rows: DataFrame, similarity: float, bits: int, blocks
     texts = ws.write(found, "texts")
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("line").alias("x")), "a").join(
         texts.select(F.col("cid").alias("b"), F.col("line").alias("y")), "b")
-    links = ws.write(both.mapInArrow(_verified(similarity), "a long, b long"), "links")
+    links = ws.write(near_texts(both, similarity), "links")
     ws.drop(pairs, keys, texts)
     roots = components(ws, links, "a", "b")
     grouped = classes.join(roots, classes["cid"] == roots["node"], "left").select(
@@ -276,14 +278,26 @@ def edit_within(a: str, b: str, allowed: int) -> bool:
     return (distance if a else len(b)) <= allowed
 
 
-def _verified(similarity: float):
+def near_texts(pairs: DataFrame, similarity: float, longest: int = LONG) -> DataFrame:
+    """(a, b) of the pairs (a, b, x, y) of texts whose edit similarity is at least ``similarity``.
+
+    Spark's own distance, which stops at the one allowed, settles lines of up to
+    ``longest`` characters where they lie. Its work is the square of the length, so
+    longer lines go to Python, where a column of the table is a few operations.
+    """
+    length = F.greatest(F.length("x"), F.length("y"))
+    allowed = F.floor(F.lit(1 - similarity) * length + F.lit(1e-9)).cast("int")
+    near = F.when(length <= longest, F.call_function("levenshtein", F.col("x"), F.col("y"), allowed) >= 0)
+    left = pairs.select("a", "b", near.alias("near"), allowed.alias("allowed"), *[
+        F.when(length > longest, F.col(c)).alias(c) for c in ("x", "y")]).filter("near IS NULL OR near")
+
     def verify(batches):
         for batch in batches:
-            x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
-            ok = pa.array([edit_within(p, q, int((1 - similarity) * max(len(p), len(q)) + 1e-9)) for p, q in zip(x, y)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(ok)
+            near, allowed, x, y = (batch.column(c).to_pylist() for c in ("near", "allowed", "x", "y"))
+            ok = [n or edit_within(p, q, d) for n, d, p, q in zip(near, allowed, x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return verify
+    return left.mapInArrow(verify, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

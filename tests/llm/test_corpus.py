@@ -378,6 +378,22 @@ def test_edit_within():
         assert [fuzzy_lines.edit_within(a, b, n) for n in range(15)] == [d <= n for n in range(15)], (a, b)
 
 
+def test_near_texts_by_both_ways(spark):
+    gen, pairs = random.Random(8), []
+    for i in range(400):
+        a = "".join(gen.choice("ab\u00e9 \U0001f600") for _ in range(gen.randrange(1, 24)))
+        b = list(a)
+        for _ in range(gen.randrange(6)):
+            b[gen.randrange(len(b))] = gen.choice(["", "a", "b", "\u00e9\u00e9"])
+        pairs.append((i, -i, a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a long, b long, x string, y string")
+    want = {i for i, _, a, b in pairs if brute.edit_distance(a, b) <= int((1 - 0.8) * max(len(a), len(b)) + 1e-9)}
+    for longest in (0, 10, 100):  # Python alone, both, Spark alone
+        assert {r["a"] for r in fuzzy_lines.near_texts(df, 0.8, longest).collect()} == want
+    plan = fuzzy_lines.near_texts(df, 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein" in plan
+
+
 def test_fuzzy_lines_awkward_rows_and_text(spark):
     got = fuzzy_lines.fuzzy_lines(table(spark, AWKWARD))
     assert got.count() == sum((t or "").count("\n") + 1 for _, t in AWKWARD)
