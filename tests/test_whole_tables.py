@@ -154,6 +154,13 @@ def test_bootstrap_against_plain_sums(spark):
     assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.05
 
 
+def test_chunks_are_dealt_to_all_cores(spark):
+    """A scan of few bytes is few tasks, whatever work its rows are."""
+    chunks = spark.range(200).coalesce(1).selectExpr("id AS chunk")
+    parts = BS.dealt(chunks).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > spark.sparkContext.defaultParallelism and sum(r["count"] for r in parts) == 200
+
+
 # --- picks and pooled vectors ---------------------------------------------------
 
 
