@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
@@ -23,9 +24,22 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
     release()
 
 
+def _trim():
+    """glibc's malloc_trim; other C libraries have none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _trim()
+
+
 def release() -> None:
-    """Give back what Arrow holds for later: the worker goes on to tasks of other queries."""
+    """Give back what Arrow and the C library hold for later: the worker goes on to tasks of other queries."""
     pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 _KEPT: dict[tuple, object] = {}

@@ -378,6 +378,16 @@ def test_edit_within():
         assert [fuzzy_lines.edit_within(a, b, n) for n in range(15)] == [d <= n for n in range(15)], (a, b)
 
 
+def test_workers_give_memory_back(monkeypatch):
+    from likeness.llm import batches
+
+    calls = []
+    monkeypatch.setattr(batches, "_TRIM", calls.append)
+    batches.kept(("one",), dict)
+    batches.kept(("two",), dict)
+    assert len(calls) == 2 and batches.kept(("two",), list) == {} and len(calls) == 2
+
+
 def test_near_texts_by_both_ways(spark):
     gen, pairs = random.Random(8), []
     for i in range(400):
