@@ -154,6 +154,17 @@ def test_bootstrap_against_plain_sums(spark):
     assert abs(weights.mean() - 1) < 0.02 and abs(weights.var() - 1) < 0.05
 
 
+def test_digests_side_by_side():
+    """The same digests as hashlib's, for names of any length."""
+    import hashlib
+
+    names = [("n\u00e9" * (i % 25)).encode()[:i % 60] + str(i).encode() for i in range(400)]
+    ends = [f"|{i}|seed".encode() for i in range(13)]
+    want = [b"".join(hashlib.md5(n + e).digest() for e in ends) for n in names]
+    assert [bytes(r) for r in BS.digests_of(names, ends)] == want
+    assert {len(n) + len(e) for n in names for e in ends} >= set(range(40, 60))
+
+
 def test_chunks_are_dealt_to_all_cores(spark):
     """A scan of few bytes is few tasks, whatever work its rows are."""
     chunks = spark.range(200).coalesce(1).selectExpr("id AS chunk")
