@@ -131,3 +131,14 @@ def test_folded_counts(spark):
     assert "filter(transform" not in out._jdf.queryExecution().optimizedPlan().toString()
     want = {r["id"]: np.bincount(np.asarray(r["bits"] or [], int) % 16, minlength=16).tolist() for r in prints.collect()}
     assert {r["id"]: r["counts"] for r in out.collect()} == want
+
+
+def test_pair_rows_are_bytes():
+    """Numbers of a pair come back from their bytes, also from a slice of a batch."""
+    import pyarrow as pa
+
+    a, b, y = (np.random.default_rng(i).random((7, 3)) for i in range(3))
+    lists = lambda m: pa.array(m.tolist(), pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([lists(a), lists(b), pa.array(y[:, 0])], ["xa", "xb", "truth"])
+    (rows,) = LE._joined([batch])
+    assert (LE._numbers(rows["row"].slice(2, 4)) == np.column_stack([a, b, y[:, 0]])[2:6]).all()
