@@ -147,8 +147,10 @@ r1 AS (SELECT *, (row_number() OVER (ORDER BY near, md5(concat_ws('|',a,b,'rank0
 def pair_distances(t):
     drawn = random_pairs(t.embeddings, "vec_id", 20, "sar").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    v = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    v = t.embeddings.select("vec_id", "embedding", "label")
     joined = drawn.join(v.toDF("a", "va", "la"), "a").join(v.toDF("b", "vb", "lb"), "b")
+    # As stored while they travel, in double precision where they have met.
+    joined = joined.withColumns({c: V.as_double(c) for c in ("va", "vb")})
     city = V.total(F.zip_with("va", "vb", lambda x, y: F.abs(x - y)))
     return joined.select("a", "b", F.round(V.euclidean(F.col("va"), F.col("vb")), 6).alias("near"),
                          F.round(city, 6).alias("city"), F.abs(F.col("la") - F.col("lb")).cast("double").alias("dy"),
@@ -156,7 +158,8 @@ def pair_distances(t):
 
 
 def ranked_pairs(t):
-    once = M.ordinal_rank01(pair_distances(t), ["task"], "near", ["a", "b"], "near01")
+    pairs = cut_lineage(pair_distances(t), "pairs")  # an order reads its rows several times
+    once = cut_lineage(M.ordinal_rank01(pairs, ["task"], "near", ["a", "b"], "near01"), "near")
     return M.ordinal_rank01(once, ["task"], "city", ["a", "b"], "city01")
 
 
