@@ -17,7 +17,6 @@ since one changed word of ten moves about nine bits.
 
 from __future__ import annotations
 
-import os
 from itertools import combinations
 
 import numpy as np
@@ -36,8 +35,8 @@ BITS, BLOCKS = 3, 5
 SIMILARITY = 0.8
 #: Bytes of text whose words are counted at once; words added up in one byte for each bit.
 AT_ONCE, LANE = 4 << 20, 255
-#: Characters of a line up to which Spark measures the edit distance itself.
-LONG = 4096
+#: Characters of a line up to which Spark measures the edit distance itself, a cell of the table at a time.
+LONG = 64
 #: Fingerprints of one bucket that are compared at once.
 ROWS = 2048
 #: Bits of a key that say, before the exact join, whether its line may be wanted; bytes of one of Spark's bitmaps.
@@ -249,13 +248,25 @@ def _marked(ws: Workspace, rows: DataFrame, similarity: float, bits: int, blocks
         (F.col("group_id").isNull() | F.coalesce(place.eqNullSafe(F.col("head")), F.lit(False))).alias("kept"))
 
 
+def _equal_start(a: str, b: str) -> int:
+    """Characters that both begin with, by halving: slices are compared as memory."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def edit_within(a: str, b: str, allowed: int) -> bool:
     """Whether the edit distance is at most ``allowed``; equal beginnings and ends are cut off first."""
     if abs(len(a) - len(b)) > allowed:
         return False
-    start = len(os.path.commonprefix([a, b]))
+    start = _equal_start(a, b)
     a, b = a[start:], b[start:]
-    end = len(os.path.commonprefix([a[::-1], b[::-1]]))
+    end = _equal_start(a[::-1], b[::-1])
     a, b = a[:len(a) - end], b[:len(b) - end]
     if max(len(a), len(b)) <= allowed:
         return True
@@ -282,8 +293,9 @@ def near_texts(pairs: DataFrame, similarity: float, longest: int = LONG) -> Data
     """(a, b) of the pairs (a, b, x, y) of texts whose edit similarity is at least ``similarity``.
 
     Spark's own distance, which stops at the one allowed, settles lines of up to
-    ``longest`` characters where they lie. Its work is the square of the length, so
-    longer lines go to Python, where a column of the table is a few operations.
+    ``longest`` characters where they lie. It compares whole lines cell by cell, so
+    longer ones go to Python, where equal ends are cut off first and a column of the
+    table is a few operations.
     """
     length = F.greatest(F.length("x"), F.length("y"))
     allowed = F.floor(F.lit(1 - similarity) * length + F.lit(1e-9)).cast("int")
