@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 AT_ONCE, LANE = 4 << 20, 255
 #: Characters of a line up to which Spark measures the edit distance itself, a cell of the table at a time.
 LONG = 64
+#: Words ahead in which two lines are sought to agree again.
+REACH = 8
 #: Fingerprints of one bucket that are compared at once.
 ROWS = 2048
 #: Bits of a key that say, before the exact join, whether its line may be wanted; bytes of one of Spark's bitmaps.
@@ -260,15 +262,41 @@ def _equal_start(a: str, b: str) -> int:
     return low
 
 
+def _by_words(a: str, b: str, allowed: int) -> bool:
+    """Whether some replacement of whole words, each followed by a space, takes at most ``allowed`` edits.
+
+    Any replacement bounds the edit distance from above, so True is exact and False says nothing.
+    """
+    p, q = a.split(" "), b.split(" ")
+    if len(p) == len(q) and sum([max(len(u), len(v)) for u, v in zip(p, q) if u != v]) <= allowed:
+        return True
+    i = j = spent = 0
+    while i < len(p) and j < len(q):
+        if p[i] == q[j]:
+            i, j = i + 1, j + 1
+            continue
+        out, new = p[i:i + REACH], q[j:j + REACH]
+        where = {w: k for k, w in reversed(list(enumerate(new)))}
+        _, x, y = min(((k + where[w], k, where[w]) for k, w in enumerate(out) if w in where), default=(0, len(out), len(new)))
+        spent += max(sum(map(len, out[:x])) + x, sum(map(len, new[:y])) + y)
+        if spent > allowed:
+            return False
+        i, j = i + x, j + y
+    return spent + sum(map(len, p[i:])) + len(p[i:]) + sum(map(len, q[j:])) + len(q[j:]) <= allowed
+
+
 def edit_within(a: str, b: str, allowed: int) -> bool:
-    """Whether the edit distance is at most ``allowed``; equal beginnings and ends are cut off first."""
+    """Whether the edit distance is at most ``allowed``; equal beginnings and ends are cut off first.
+
+    Lines of near fingerprints mostly differ in a few words, which settles them without the table.
+    """
     if abs(len(a) - len(b)) > allowed:
         return False
     start = _equal_start(a, b)
     a, b = a[start:], b[start:]
     end = _equal_start(a[::-1], b[::-1])
     a, b = a[:len(a) - end], b[:len(b) - end]
-    if max(len(a), len(b)) <= allowed:
+    if max(len(a), len(b)) <= allowed or _by_words(a, b, allowed):
         return True
     # One column of the distance table at a time, its steps of +1 and -1 as bits of two integers.
     where: dict[str, int] = {}
